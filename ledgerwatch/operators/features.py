@@ -98,7 +98,7 @@ def baseline(txns: DataFrame, order: str) -> DataFrame:
     ).withColumn("min_so_far_minor", -F.col("min_so_far_minor"))
 
 
-def assemble(df: DataFrame) -> DataFrame:
+def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
     """Final feature columns from the baseline and window columns."""
     n = F.col("txns_so_far")
     mean = X.major_units("_total") / n
@@ -144,7 +144,7 @@ def assemble(df: DataFrame) -> DataFrame:
         "max_so_far": X.major_units("max_so_far_minor"),
         "min_so_far": X.major_units("min_so_far_minor"),
     }
-    kept = ["n_60s", "round_24h", "txns_so_far", "account_tier", "type", "channel", "event_ts", "ts_us", "arrival_seq"]
+    kept = ["n_60s", "round_24h", "txns_so_far", "account_tier", "type", "channel", "event_ts", "ts_us", "arrival_seq", *keep]
     # Two steps: the labels replace source columns of the same name.
     wide = df.select(
         *S.ID_COLUMNS, "amount", "accounts_per_customer", *kept, *scalars,
@@ -159,12 +159,15 @@ def features(
     max_rows: int = MAX_ROWS,
     max_rows_per_week: int = MAX_ROWS_PER_WEEK,
     rows_per_segment: int = ROWS_PER_SEGMENT,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """35 model columns, 2 labels and 3 ids, plus the running state that rules and scoring use."""
-    rows = txns.select(*INPUT_COLUMNS)
+    """35 model columns, 2 labels and 3 ids, plus the running state that rules and scoring use.
+    ``keep`` names further input columns to carry along, such as model scores."""
+    keep = keep or []
+    rows = txns.select(*INPUT_COLUMNS, *keep)
     ordinary, hot = split_by_size(rows, max_rows, max_rows_per_week)
     windows = sliding.ordinary if order == "event_time" else sliding.by_arrival
-    result = assemble(windows(baseline(ordinary, order)))
+    result = assemble(windows(baseline(ordinary, order)), keep)
     if hot is None:
         return result
 
@@ -176,7 +179,7 @@ def features(
         busy = sliding.busy(state, rows_per_segment)
     else:
         busy = sliding.by_arrival(state, rows_per_segment)
-    return result.unionByName(assemble(busy))
+    return result.unionByName(assemble(busy, keep))
 
 
 def feature_matrix(txns: DataFrame, order: str = "event_time", **sizes) -> DataFrame:
