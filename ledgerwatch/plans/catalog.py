@@ -15,8 +15,12 @@ from ..operators import accounts as A
 from ..operators import evidence as E
 from ..operators import features as FT
 from ..operators import graph as G
+from ..operators import graph_model as GM
 from ..operators import metrics as M
+from ..operators import models as MD
+from ..operators.scaling import Scaler
 from ..operators.snapshots import customer_snapshot as snapshot_of
+from ..session import cut_lineage
 from ..sources import ingest as I
 from ..sources import sinks
 from ..sources.events import out_of_order, transactions
@@ -433,6 +437,53 @@ def case_report(spark, sf):
     ))
 
 
+# Models ----------------------------------------------------------------------------------------
+
+
+def training_set(spark, sf):
+    return MD.TrainingSet.build(feature_table(spark, sf))
+
+
+def standard_scale(spark, sf):
+    """All 35 columns, scaled by the first three quarters of the rows."""
+    split = M.temporal_split(cut_lineage(feature_table(spark, sf)))
+    scaler = Scaler.fit(split.where("split = 'train'"), S.FEATURE_COLUMNS)
+    return rounded(split.select("transaction_id", *scaler.expressions()))
+
+
+def smote_neighbors(spark, sf):
+    found = MD.neighbour_table(training_set(spark, sf).train.where("label = 1"))
+    return rounded(found.select(F.col("id").alias("transaction_id"), "place", "distance"))
+
+
+def smote(spark, sf):
+    balanced = MD.oversample(training_set(spark, sf))
+    return balanced.select("id", "label", F.element_at("x", 1).alias("amount_scaled"))
+
+
+def isolation_forest(spark, sf):
+    data = training_set(spark, sf)
+    return MD.anomaly_predictions(data, MD.fit_isolation_forest(data)).withColumnRenamed("id", "transaction_id")
+
+
+def random_forest(spark, sf):
+    data = training_set(spark, sf)
+    model = MD.fit_random_forest(MD.oversample(data))
+    return MD.forest_predictions(model, data.test).withColumnRenamed("id", "transaction_id")
+
+
+def feature_importance(spark, sf):
+    return MD.feature_importance(MD.fit_random_forest(MD.oversample(training_set(spark, sf))), spark)
+
+
+def gnn_scores(spark, sf):
+    return GM.graph_scores(account_table(spark, sf))
+
+
+def sage_forward(spark, sf):
+    return GM.sage_forward(GM.scaled_nodes(account_table(spark, sf)), GM.random_weights())
+
+
 RULE_KEYS = {
     "rule_daily_atm": "DAILY_ATM_BREACH",
     "rule_weekly_withdrawal": "WEEKLY_WITHDRAWAL_BREACH",
@@ -460,6 +511,8 @@ def catalog() -> dict[str, Query]:
         "rule_registry", "score_fusion", "alerts", "alert_regulatory_lookup", "alert_summary", "top_alert",
         "high_alert_candidates", "customer_snapshot",
         "recent_history", "history_summary", "account_breakdown", "alert_history", "case_report",
+        "standard_scale", "smote_neighbors", "smote", "isolation_forest", "random_forest", "feature_importance",
+        "gnn_scores", "sage_forward",
     ]
     queries: dict[str, Query] = {name: here[name] for name in named}
     queries.update({key: window_rule(name) for key, name in RULE_KEYS.items()})

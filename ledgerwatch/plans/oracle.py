@@ -121,6 +121,16 @@ ruled AS (
   FROM feat)"""
 
 
+SCALED = """,
+ordered AS (SELECT *, row_number() OVER (ORDER BY arrival_seq) <= floor((SELECT count(*) FROM feat) * 0.75) AS train FROM feat),
+st AS (SELECT """ + ", ".join(
+    f"avg({c}) FILTER (train) AS mean_{c}, coalesce(nullif(stddev_pop({c}) FILTER (train), 0), 1) AS std_{c}" for c in S.FEATURE_COLUMNS
+) + """ FROM ordered),
+scaled AS (SELECT transaction_id, train, is_suspicious, """ + ", ".join(
+    f"({c} - mean_{c}) / std_{c} AS {c}" for c in S.FEATURE_COLUMNS
+) + """ FROM ordered CROSS JOIN st)"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -415,6 +425,11 @@ def oracles() -> dict[str, str]:
             CASE WHEN recommendation = 'FILE STR' THEN 'draft' END AS str_draft, recommendation AS final_recommendation, 'PENDING' AS mlro_decision
             FROM f JOIN a USING (customer_id) JOIN history USING (customer_id) CROSS JOIN d JOIN verdicts v ON v.doc_id % d.n = f.arrival_seq % d.n
             WHERE risk_tier = 'HIGH'""",
+        "standard_scale": feat.rstrip() + SCALED + " SELECT transaction_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in S.FEATURE_COLUMNS) + " FROM scaled",
+        "smote_neighbors": feat.rstrip() + SCALED + f""", x AS (SELECT transaction_id, [{', '.join(S.FEATURE_COLUMNS)}]::DOUBLE[] AS v FROM scaled WHERE train AND is_suspicious = 1),
+            d AS (SELECT a.transaction_id, list_distance(a.v, b.v) AS distance FROM x a JOIN x b ON a.transaction_id <> b.transaction_id),
+            p AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY distance) AS place FROM d)
+            SELECT transaction_id, place, round(distance, 6) AS distance FROM p WHERE place <= least(5, (SELECT count(*) FROM x) - 1)""",
         "flagged_transactions": all_rules(PRODUCTION),
         "flagged_wide_profile": all_rules(WIDE),
         "flagged_test_profile": all_rules(TEST, PREDICATES | TEST_PREDICATES),
