@@ -55,12 +55,27 @@ def std_from_sums(n: Column, total: Column, squares: Column) -> Column:
     return F.sqrt(F.greatest(variance, F.lit(0.0))) / 100.0
 
 
-def baseline(txns: DataFrame, order: str) -> DataFrame:
-    """Running state of the customer after each row: totals, usual channel and hour, accounts, age."""
+class NoState:
+    """Batch runs start from nothing and leave nothing behind."""
+
+    def initial(self, name: str, keys: list[str], values: list[Running]) -> DataFrame | None:
+        return None
+
+    def keep(self, name: str, rows: DataFrame, keys: list[str], order: list[str], values: list[Running]) -> None:
+        pass
+
+
+def baseline(txns: DataFrame, order: str, state=NoState()) -> DataFrame:
+    """Running state of the customer after each row: totals, usual channel and hour, accounts, age.
+    ``state`` brings the partials of earlier batches and takes those of this one."""
     position = order_columns(order)
     earlier_wins = [(-F.col(c)) for c in position]
     one = F.lit(1).cast("bigint")
 
+    def add(df, name, keys, values, source=None):
+        state.keep(name, df if source is None else source, keys, position, values)
+        return running(df, keys, position, values, source=source, initial=state.initial(name, keys, values))
+
     df = txns.withColumn("_hour", F.hour("event_ts"))
     if SEGMENT in df.columns:
         df = cut_lineage(df.repartition("customer_id", SEGMENT))
@@ -69,33 +84,34 @@ def baseline(txns: DataFrame, order: str) -> DataFrame:
     rows = df
     for value, prefix in (("channel", "_channel"), ("_hour", "_hours")):
         first_seen = [Running(f"{prefix}_first{i}", "first", c) for i, c in enumerate(earlier_wins)]
-        df = running(df, ["customer_id", value], position, [Running(f"{prefix}_n", "sum", one), *first_seen],
-                     source=rows)
+        df = add(df, prefix, ["customer_id", value], [Running(f"{prefix}_n", "sum", one), *first_seen], rows)
         rank = F.struct(
             F.col(f"{prefix}_n"), *[F.col(f.name) for f in first_seen], F.col(value).alias("value")
         )
         df = df.withColumn(f"{prefix}_rank", rank).drop(f"{prefix}_n", *[f.name for f in first_seen])
-    df = running(df, ["customer_id", "account_id"], position, [Running("_account_n", "sum", one)],
-                 source=rows)
+    df = add(df, "_account", ["customer_id", "account_id"], [Running("_account_n", "sum", one)], rows)
 
     # The most frequent value so far is the highest (count, first seen) any row has reached so far.
-    return running(
+    amount = F.col("amount_minor")
+    wide = amount.cast("decimal(19,0)")
+    df = add(
         df,
+        "_customer",
         ["customer_id"],
-        position,
         [
             Running("txns_so_far", "sum", one),
-            Running("_total", "sum", F.col("amount_minor")),
-            Running("_squares", "sum", F.col("amount_minor").cast("decimal(19,0)") * F.col("amount_minor").cast("decimal(19,0)")),
-            Running("max_so_far_minor", "max", F.col("amount_minor")),
-            Running("min_so_far_minor", "max", -F.col("amount_minor")),
+            Running("_total", "sum", amount),
+            Running("_squares", "sum", wide * wide),
+            Running("max_so_far_minor", "max", amount),
+            Running("min_so_far_minor", "max", -amount),
             Running("_usual_channel", "max", F.col("_channel_rank")),
             Running("_usual_hour", "max", F.col("_hours_rank")),
             Running("accounts_per_customer", "sum", F.when(F.col("_account_n") == 1, one).otherwise(0)),
             Running("_first_us", "first", F.col("ts_us")),
             Running("_previous_us", "prev", F.col("ts_us")),
         ],
-    ).withColumn("min_so_far_minor", -F.col("min_so_far_minor"))
+    )
+    return df.withColumn("min_so_far_minor", -F.col("min_so_far_minor"))
 
 
 def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -166,8 +182,12 @@ def features(
     keep = keep or []
     rows = txns.select(*INPUT_COLUMNS, *keep)
     ordinary, hot = split_by_size(rows, max_rows, max_rows_per_week)
-    windows = sliding.ordinary if order == "event_time" else sliding.by_arrival
-    result = assemble(windows(baseline(ordinary, order)), keep)
+    state = baseline(ordinary, order)
+    if order == "event_time":
+        windows = sliding.ordinary(state)
+    else:
+        windows = sliding.by_arrival(state.withColumn("_place", F.col("txns_so_far")))
+    result = assemble(windows, keep)
     if hot is None:
         return result
 
@@ -178,7 +198,7 @@ def features(
     if order == "event_time":
         busy = sliding.busy(state, rows_per_segment)
     else:
-        busy = sliding.by_arrival(state, rows_per_segment)
+        busy = sliding.by_arrival(state.withColumn("_place", F.col("txns_so_far")), rows_per_segment)
     return result.unionByName(assemble(busy, keep))
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 POOL = 8192
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
@@ -65,14 +67,16 @@ def fit(points: DataFrame, trees: int = 200, sample_size: int = 256, seed: int =
 
     Samples are drawn from a uniform pool of fixed size, taken by the smallest hash values.
     """
-    pool = points.select("id", "x").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(POOL)
+    pool = cut_lineage(points.select("id", "x").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(POOL))
     draw = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "id"), "id")
-    samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = (
+        pool.select("id")
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_place", F.row_number().over(draw))
         .where(F.col("_place") <= sample_size)
-        .select("tree", "id", "x")
+        .select("tree", "id")
     )
+    samples = drawn.join(F.broadcast(pool), "id")  # the pool has a fixed size
     return samples.groupBy("tree").applyInPandas(_grower(sample_size, seed), NODE_SCHEMA)
 
 

@@ -175,14 +175,15 @@ def busy(df: DataFrame, rows_per_segment: int) -> DataFrame:
 
 
 def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
-    """Exact windows for any arrival order; ``df`` carries ``txns_so_far`` from the baseline."""
+    """Exact windows for any arrival order. ``df`` holds all rows a window may reach, with their
+    place in the customer's arrivals among these rows as ``_place`` (from one)."""
     # An account is in the window if its newest event time so far is. Only a new maximum matters:
     # it takes the place of the account's previous maximum.
     df = running(df, ["customer_id", "account_id"], ["arrival_seq"],
                  [Running("_newest", "max_before", F.col("ts_us"))])
     record = F.col("_newest").isNull() | (F.col("ts_us") > F.col("_newest"))
     narrow = df.select(
-        "customer_id", "amount_minor", "ts_us", "_newest", (F.col("txns_so_far") - 1).alias("_rank"),
+        "customer_id", "amount_minor", "ts_us", "_newest", (F.col("_place") - 1).alias("_rank"),
         round_flag().alias("_round"), record.alias("_record"),
     )
     if rows_per_segment:
@@ -228,7 +229,7 @@ def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
         ],
     )
     within = lambda window, column: F.when(F.col("window") == window, F.col(column))
-    gathered = points.where("kind = 1").groupBy("customer_id", (F.col("_rank") + 1).alias("txns_so_far")).agg(
+    gathered = points.where("kind = 1").groupBy("customer_id", (F.col("_rank") + 1).alias("_place")).agg(
         *[F.sum(within(w, "n")).alias(f"_n_{w}") for w in COUNTS],
         *[F.sum(within(w, "s")).alias(f"_s_{w}") for w in SUMS],
         F.sum(within("24h", "q")).alias("_q"),
@@ -239,8 +240,8 @@ def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
     # The row itself is in its own window; a first arrival has asked nobody.
     known = lambda c: F.coalesce(F.col(c), F.lit(0))
     own_account = X.flag(record) - X.flag(record & (F.col("_newest") >= F.col("ts_us") - S.DAY))
-    return df.join(gathered, ["customer_id", "txns_so_far"], "left").select(
-        *[c for c in df.columns if c not in (SEGMENT, "_newest")],
+    return df.join(gathered, ["customer_id", "_place"], "left").select(
+        *[c for c in df.columns if c not in (SEGMENT, "_newest", "_place")],
         *[(known(f"_n_{w}") + 1).alias(f"n_{w}") for w in COUNTS],
         *[(known(f"_s_{w}") + amount()).alias(f"s_{w}") for w in SUMS],
         (known("_q") + squared(amount())).cast("decimal(38,0)").alias("q_24h"),

@@ -42,16 +42,15 @@ def delta(scored: DataFrame) -> DataFrame:
     )
 
 
-def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Fold two deltas of disjoint transactions into one."""
-    both = old.unionByName(new)
-    firsts = both.select("customer_id", F.explode("accounts").alias("_a")).groupBy(
+def merge(deltas: DataFrame) -> DataFrame:
+    """Fold the deltas of several batches, each transaction in one of them, to one row per customer."""
+    firsts = deltas.select("customer_id", F.explode("accounts").alias("_a")).groupBy(
         "customer_id", F.col("_a.account_id").alias("account_id")
     ).agg(F.min("_a.seq").alias("seq"))
     accounts = firsts.groupBy("customer_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "account_id"))).alias("accounts")
     )
-    totals = both.groupBy("customer_id").agg(
+    totals = deltas.groupBy("customer_id").agg(
         *[F.sum(c).alias(c) for c in ("n", "total_minor")],
         F.max("largest").alias("largest"),
         *[F.sum(c).alias(c) for c in ("suspicious", "alerts")],

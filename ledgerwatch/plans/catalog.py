@@ -20,10 +20,12 @@ from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators.scaling import Scaler
 from ..operators.snapshots import customer_snapshot as snapshot_of
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources import ingest as I
 from ..sources import sinks
-from ..sources.events import out_of_order, transactions
+from ..sources.events import derive, out_of_order, transactions
+from ..streaming import features as stream_jobs
+from ..streaming import flags as stream_rules
 from . import rules as R
 from . import scoring as SC
 from .registry import registry
@@ -149,10 +151,7 @@ def high_alert_feed(spark, sf):
 
 def features_sink(spark, sf):
     """The feature table written as CSV with a header, and read back."""
-    from ..session import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "features")
     sinks.write_features(FT.feature_matrix(transactions(spark, sf)), path, "csv")
     back = I.read_features(spark, path, "csv")
     return rounded(back.select("transaction_id", "amount", "sum_24h", "amount_zscore", "count_24h", "is_suspicious", "suspicious_typology"))
@@ -484,6 +483,49 @@ def sage_forward(spark, sf):
     return GM.sage_forward(GM.scaled_nodes(account_table(spark, sf)), GM.random_weights())
 
 
+# Streams ---------------------------------------------------------------------------------------
+
+
+def event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return derive(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def arrival_stream(spark, sf, batches=3):
+    """The whole table as a stream of several files, written and delivered in arrival order."""
+    path = scratch_path(spark, "arrivals")
+    txns = transactions(spark, sf)
+    last = txns.agg(F.max("arrival_seq")).first()[0] + 1
+    for i in range(batches):
+        inside = (F.col("arrival_seq") >= last * i // batches) & (F.col("arrival_seq") < last * (i + 1) // batches)
+        txns.where(inside).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_flagged(spark, sf):
+    path = scratch_path(spark, "flags")
+    flags = stream_rules.flagged(event_stream(spark, sf), R.PRODUCTION)
+    stream_rules.write_flags(flags, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(flags.schema).parquet(f"{path}/table")
+
+
+def stream_features(spark, sf):
+    path = scratch_path(spark, "stream")
+    job = stream_jobs.FeatureStream(path)
+    stream_jobs.feature_batches(arrival_stream(spark, sf), job, f"{path}/checkpoint").awaitTermination()
+    matrix = spark.read.parquet(f"{path}/features").select(*S.FEATURE_COLUMNS, *S.LABEL_COLUMNS, *S.ID_COLUMNS)
+    return rounded(matrix)
+
+
+def stream_snapshot(spark, sf):
+    """The consumer end to end: scores come with the rows, snapshots from the written deltas."""
+    path = scratch_path(spark, "consumer")
+    job = stream_jobs.FeatureStream(path, keep=tuple(SCORES))
+    stream_jobs.score_batches(arrival_stream(spark, sf), job, lambda rows: rows, f"{path}/checkpoint").awaitTermination()
+    snap = stream_jobs.current_snapshots(spark, path)
+    return rounded(snap.withColumn("account_ids", F.array_join("account_ids", ",")))
+
+
 RULE_KEYS = {
     "rule_daily_atm": "DAILY_ATM_BREACH",
     "rule_weekly_withdrawal": "WEEKLY_WITHDRAWAL_BREACH",
@@ -512,7 +554,7 @@ def catalog() -> dict[str, Query]:
         "high_alert_candidates", "customer_snapshot",
         "recent_history", "history_summary", "account_breakdown", "alert_history", "case_report",
         "standard_scale", "smote_neighbors", "smote", "isolation_forest", "random_forest", "feature_importance",
-        "gnn_scores", "sage_forward",
+        "gnn_scores", "sage_forward", "stream_flagged", "stream_features", "stream_snapshot",
     ]
     queries: dict[str, Query] = {name: here[name] for name in named}
     queries.update({key: window_rule(name) for key, name in RULE_KEYS.items()})

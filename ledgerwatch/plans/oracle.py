@@ -275,6 +275,19 @@ history AS (
   SELECT customer_id, transactions, combined_amount, 'Total transactions: ' || transactions || chr(10) || 'Combined amount: ₦' ||
     format('{:,.2f}', combined_amount) || chr(10) || chr(10) || tail AS summary FROM sums JOIN lines USING (customer_id))"""
 
+LATE_FUSED = """, g AS (SELECT * REPLACE ((arrival_seq + 7 * (k % 5)) * 5 + (4 - k % 5) AS arrival_seq) FROM f)"""
+
+SNAPSHOT = """,
+            a AS (SELECT customer_id, string_agg(account_id, ',' ORDER BY s) AS account_ids, count(*) AS account_count
+              FROM (SELECT customer_id, account_id, min(arrival_seq) AS s FROM g GROUP BY 1, 2) GROUP BY customer_id)
+            SELECT customer_id, any_value(account_ids) AS account_ids, any_value(account_count) AS account_count, arg_min(account_tier, arrival_seq) AS account_tier,
+            count(*) AS total_transactions, CAST(sum(m) AS BIGINT) / 100.0 AS total_amount, round(CAST(sum(m) AS BIGINT) / 100.0 / count(*), 6) AS mean_amount,
+            max(amount) AS max_amount, count(*) FILTER (is_suspicious) AS suspicious_count, count(*) FILTER (risk_score >= 40) AS alert_count,
+            coalesce(arg_max(risk_score, arrival_seq) FILTER (risk_score >= 40), arg_min(risk_score, arrival_seq)) AS latest_risk_score,
+            greatest(max(risk_score) FILTER (risk_score >= 40), arg_min(risk_score, arrival_seq)) AS highest_risk_score,
+            coalesce(arg_max(risk_tier, arrival_seq) FILTER (risk_score >= 40), arg_min(risk_tier, arrival_seq)) AS latest_risk_tier,
+            arg_min(event_ts, arrival_seq) AS first_seen, arg_max(event_ts, arrival_seq) AS last_seen FROM g JOIN a USING (customer_id) GROUP BY customer_id"""
+
 LINES_OK = "arrival_seq % 97 <> 0 AND arrival_seq % 89 <> 0 AND arrival_seq % 83 <> 0"
 TOPIC = "['transactions', 'alerts', 'audit'][k % 3 + 1]"
 MESSAGES = f""",
@@ -400,16 +413,11 @@ def oracles() -> dict[str, str]:
         "top_alert": fused + "SELECT transaction_id, account_id, customer_id, risk_score, risk_tier FROM f ORDER BY risk_score DESC, arrival_seq LIMIT 1",
         "high_alert_candidates": fused + """SELECT transaction_id, risk_score, risk_tier FROM (SELECT * FROM f ORDER BY arrival_seq LIMIT 500)
             WHERE risk_tier = 'HIGH' AND risk_score >= 85""",
-        "customer_snapshot": fused.rstrip() + """, g AS (SELECT * REPLACE ((arrival_seq + 7 * (k % 5)) * 5 + (4 - k % 5) AS arrival_seq) FROM f),
-            a AS (SELECT customer_id, string_agg(account_id, ',' ORDER BY s) AS account_ids, count(*) AS account_count
-              FROM (SELECT customer_id, account_id, min(arrival_seq) AS s FROM g GROUP BY 1, 2) GROUP BY customer_id)
-            SELECT customer_id, any_value(account_ids) AS account_ids, any_value(account_count) AS account_count, arg_min(account_tier, arrival_seq) AS account_tier,
-            count(*) AS total_transactions, CAST(sum(m) AS BIGINT) / 100.0 AS total_amount, round(CAST(sum(m) AS BIGINT) / 100.0 / count(*), 6) AS mean_amount,
-            max(amount) AS max_amount, count(*) FILTER (is_suspicious) AS suspicious_count, count(*) FILTER (risk_score >= 40) AS alert_count,
-            coalesce(arg_max(risk_score, arrival_seq) FILTER (risk_score >= 40), arg_min(risk_score, arrival_seq)) AS latest_risk_score,
-            greatest(max(risk_score) FILTER (risk_score >= 40), arg_min(risk_score, arrival_seq)) AS highest_risk_score,
-            coalesce(arg_max(risk_tier, arrival_seq) FILTER (risk_score >= 40), arg_min(risk_tier, arrival_seq)) AS latest_risk_tier,
-            arg_min(event_ts, arrival_seq) AS first_seen, arg_max(event_ts, arrival_seq) AS last_seen FROM g JOIN a USING (customer_id) GROUP BY customer_id""",
+        "customer_snapshot": fused.rstrip() + LATE_FUSED + SNAPSHOT,
+        "stream_snapshot": fused.rstrip() + ", g AS (SELECT * FROM f)" + SNAPSHOT,
+        "stream_features": feat + f"SELECT {six(full)} FROM feat",
+        "stream_flagged": f"WITH {TXN} SELECT * FROM (" + " UNION ALL ".join(rule_sql(n, PRODUCTION, PREDICATES) for n in R_NAMES)
+            + """) WHERE rule_triggered = 'LATE_NIGHT_HIGH_VALUE' OR detected_at <= (SELECT max(event_ts) - INTERVAL 1 hour FROM t)""",
         "recent_history": f"WITH {TXN}{HISTORY} SELECT customer_id, transaction_id, place FROM ranked WHERE place <= 10",
         "history_summary": f"WITH {TXN}{HISTORY} SELECT * FROM history",
         "account_breakdown": txn.rstrip() + """, w AS (SELECT DISTINCT customer_id, account_id FROM t), o AS (
