@@ -17,9 +17,15 @@ def micros(ts) -> Column:
     )
 
 
+def floor_div(value, by: int) -> Column:
+    """Integer floor division, exact for every bigint."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def from_micros(us) -> Column:
     us = F.col(us) if isinstance(us, str) else us
-    days = F.floor(us / F.lit(S.DAY)).cast("int")
+    days = floor_div(us, S.DAY).cast("int")
     seconds = (F.pmod(us, F.lit(S.DAY)).cast("decimal(18,6)") / F.lit(S.SECOND)).cast("decimal(18,6)")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return epoch + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)

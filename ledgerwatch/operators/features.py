@@ -20,7 +20,7 @@ from . import sliding
 from .prefix import SEGMENT, Running, add_segments, broadcast_if_small, hot_keys, running
 
 MAX_ROWS = 2_000_000
-MAX_ROWS_PER_WEEK = 20_000
+MAX_ROWS_PER_WEEK = 5_000
 ROWS_PER_SEGMENT = 500_000
 
 INPUT_COLUMNS = [
@@ -39,7 +39,8 @@ def split_by_size(
     txns: DataFrame, max_rows: int = MAX_ROWS, max_rows_per_week: int = MAX_ROWS_PER_WEEK
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary customers, and rows of hot customers if there are any."""
-    hot, found = broadcast_if_small(hot_keys(txns, "customer_id", "ts_us", max_rows, max_rows_per_week))
+    counted = cut_lineage(hot_keys(txns, "customer_id", "ts_us", max_rows, max_rows_per_week))
+    hot, found = broadcast_if_small(counted)
     if not found:
         return txns, None
     return txns.join(hot, "customer_id", "left_anti"), txns.join(hot, "customer_id", "left_semi")
@@ -146,7 +147,7 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
         "cross_account_ratio_6h": X.major_units("s_6h") / limit,
         "max_single_24h": X.major_units("max_24h"),
         "cov_24h": F.when(n24 > 1, std24 / F.greatest(mean24, F.lit(1.0))).otherwise(0.0),
-        "account_age_days": F.floor((F.col("ts_us") - F.col("_first_us")) / S.DAY),
+        "account_age_days": X.floor_div(F.col("ts_us") - F.col("_first_us"), S.DAY),
         "unique_counterparties_24h": F.col("accounts_24h"),
     }
     labels = {

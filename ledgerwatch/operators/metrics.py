@@ -17,39 +17,32 @@ def label_distribution(df: DataFrame) -> DataFrame:
 def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 4096, small: int = 20_000) -> list[float]:
     """Exact values at the given 1-based ranks of ``column``, without a global sort.
 
-    Each pass counts at most ``bins`` value ranges and keeps the one the rank falls into, until few
-    distinct values remain. Only counts, or at most ``small`` distinct values, reach the driver.
+    Each pass counts the rows of at most ``bins`` value ranges, reduced on the map side, and keeps
+    the range the rank falls into. At most ``bins`` counts or ``small`` rows reach the driver.
     """
     values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
     return [_one_statistic(values, rank, bins, small) for rank in ranks]
 
 
 def _one_statistic(values: DataFrame, rank: int, bins: int, small: int):
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    if low is None:
-        raise ValueError("no values")
-    while True:
+    low, high, rows = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not 1 <= rank <= rows:
+        raise ValueError(f"rank {rank} of {rows} rows")
+    while low != high:
         inside = values.where(F.col("v").between(low, high))
-        if low == high:
-            return low
-        distinct = inside.groupBy("v").count()
-        sample = distinct.limit(small + 1)
-        if sample.count() <= small:
-            for value, n in distinct.orderBy("v").collect():
-                rank -= n
-                if rank <= 0:
-                    return value
-            raise ValueError("rank beyond the last row")
+        if rows <= small:
+            return sorted(r["v"] for r in inside.collect())[rank - 1]
         width = (high - low) / bins
         bin_of = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
         counts = inside.groupBy(bin_of.alias("b")).agg(
             F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-        ).orderBy("b").collect()
-        for row in counts:
+        )
+        for row in counts.orderBy("b").collect():
             if rank <= row["n"]:
                 break
             rank -= row["n"]
-        values, low, high = inside, row["low"], row["high"]
+        low, high, rows = row["low"], row["high"], row["n"]
+    return low
 
 
 def percentile(df: DataFrame, column: str, fraction: float) -> float:

@@ -140,16 +140,17 @@ def add_segments(
     Counts per key and ``unit`` of position are reduced on the map side; a segment never splits a
     unit, so rows with equal positions stay together.
     """
-    bucket = F.floor(F.col(position) / F.lit(unit))
+    bucket = F.expr(f"{position} div {unit}")
     counted = df.withColumn("_unit", bucket)
     so_far = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         counted.groupBy(*keys, "_unit")
         .count()
+        .withColumn("_before", F.sum("count").over(so_far))
         .select(
             *keys,
             "_unit",
-            F.floor(F.coalesce(F.sum("count").over(so_far), F.lit(0)) / rows_per_segment).alias(SEGMENT),
+            F.expr(f"coalesce(_before, 0) div {rows_per_segment}").alias(SEGMENT),
         )
     )
     return counted.join(cuts, keys + ["_unit"]).drop("_unit")
@@ -157,7 +158,7 @@ def add_segments(
 
 def hot_keys(df: DataFrame, key: str, ts_us: str, max_rows: int, max_rows_per_week: int) -> DataFrame:
     """Keys whose rows, in all or within a week, are too many for one task's plain window."""
-    weekly = df.groupBy(key, F.floor(F.col(ts_us) / S.WEEK).alias("_week")).count()
+    weekly = df.groupBy(key, F.expr(f"{ts_us} div {S.WEEK}").alias("_week")).count()
     return (
         weekly.groupBy(key)
         .agg(F.sum("count").alias("_rows"), F.max("count").alias("_peak"))

@@ -99,7 +99,7 @@ def ordinary(df: DataFrame) -> DataFrame:
 def busy(df: DataFrame, rows_per_segment: int) -> DataFrame:
     """The sweep. Needs event-time order; every step works on segments."""
     row_columns = [c for c in df.columns if c != SEGMENT]
-    rows = df.withColumn("_block", F.floor(F.col("ts_us") / S.DAY))
+    rows = df.withColumn("_block", X.floor_div("ts_us", S.DAY))
     # Largest amount of the same 24 h block after this row: what remains once the row has left.
     rows = running(
         rows, ["customer_id", "_block"], ["ts_us", "arrival_seq"],
@@ -181,10 +181,11 @@ def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
     # it takes the place of the account's previous maximum.
     df = running(df, ["customer_id", "account_id"], ["arrival_seq"],
                  [Running("_newest", "max_before", F.col("ts_us"))])
+    columns = [c for c in df.columns if c not in (SEGMENT, "_newest", "_place")]
     record = F.col("_newest").isNull() | (F.col("ts_us") > F.col("_newest"))
     narrow = df.select(
         "customer_id", "amount_minor", "ts_us", "_newest", (F.col("_place") - 1).alias("_rank"),
-        round_flag().alias("_round"), record.alias("_record"),
+        round_flag().alias("_round"), record.alias("_record"), F.struct(*columns).alias("_row"),
     )
     if rows_per_segment:
         narrow = cut_lineage(narrow)
@@ -192,26 +193,32 @@ def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
     else:
         narrow = narrow.withColumn("_last", F.max("_rank").over(Window.partitionBy("customer_id")))
 
-    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("_last"), F.lit(1)))).cast("int"))
-    split = narrow.where("_last > 0").withColumn("_level", F.explode(levels)).select(
-        "*",
-        F.expr("shiftright(_rank, _level + 1)").alias("_half"),
-        (F.expr("shiftright(_rank, _level) & 1") == 1).alias("_asks"),
+    # Level -1 is the row itself: it is in its own window and carries the other columns along.
+    higher = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("_last"), F.lit(1)))).cast("int"))
+    levels = F.when(F.col("_last") > 0, F.concat(F.array(F.lit(-1)), higher)).otherwise(F.array(F.lit(-1)))
+    itself = F.col("_level") < 0
+    split = narrow.withColumn("_level", F.explode(levels)).select(
+        *[F.when(itself, F.col(c)).alias(c) if c == "_row" else F.col(c) for c in narrow.columns],
+        "_level",
+        F.when(itself, F.col("_rank")).otherwise(F.expr("shiftright(_rank, _level + 1)")).alias("_half"),
+        F.when(itself, False).otherwise(F.expr("shiftright(_rank, _level) & 1") == 1).alias("_asks"),
     )
     point = lambda us, kind, window, present, accounts: F.struct(
         (-us).alias("u"), F.lit(kind).alias("kind"), F.lit(window).alias("window"),
         present.alias("present"), accounts.alias("accounts"),
     )
+    own_account = X.flag(F.col("_record")) - X.flag(F.col("_record") & (F.col("_newest") >= F.col("ts_us") - S.DAY))
+    own = F.array(point(F.col("ts_us"), 1, "all", count(1), own_account.cast("bigint")))
     questions = F.array(*[point(F.col("ts_us") - h, 1, w, count(0), count(0)) for w, h in LENGTHS.items()])
     entry = point(F.col("ts_us"), 0, "", count(1), F.col("_record").cast("bigint"))
     replaced = point(F.col("_newest"), 0, "", count(0), -count(1))
     answers = F.when(F.col("_record") & F.col("_newest").isNotNull(), F.array(entry, replaced)).otherwise(F.array(entry))
     # A left half only has work where its right half exists.
-    useful = F.col("_asks") | (F.expr("shiftleft(shiftright(_rank, _level) + 1, _level)") <= F.col("_last"))
+    useful = itself | F.col("_asks") | (F.expr("shiftleft(shiftright(_rank, _level) + 1, _level)") <= F.col("_last"))
     points = (
         split.where(useful)
-        .withColumn("_point", F.explode(F.when(F.col("_asks"), questions).otherwise(answers)))
-        .select("customer_id", "_level", "_half", "_rank", amount(), "_round", F.col("_point.*"))
+        .withColumn("_point", F.explode(F.when(itself, own).when(F.col("_asks"), questions).otherwise(answers)))
+        .select("customer_id", "_level", "_half", "_rank", amount(), "_round", "_row", F.col("_point.*"))
     )
     keys = ["customer_id", "_level", "_half"]
     if rows_per_segment:
@@ -228,25 +235,17 @@ def by_arrival(df: DataFrame, rows_per_segment: int | None = None) -> DataFrame:
             Running("largest", "max", F.when(present == 1, amount())),
         ],
     )
-    within = lambda window, column: F.when(F.col("window") == window, F.col(column))
-    gathered = points.where("kind = 1").groupBy("customer_id", (F.col("_rank") + 1).alias("_place")).agg(
-        *[F.sum(within(w, "n")).alias(f"_n_{w}") for w in COUNTS],
-        *[F.sum(within(w, "s")).alias(f"_s_{w}") for w in SUMS],
-        F.sum(within("24h", "q")).alias("_q"),
-        F.sum(within("24h", "rounds")).alias("_rounds"),
-        F.sum(within("24h", "used")).alias("_used"),
-        F.max(within("24h", "largest")).alias("_largest"),
-    )
-    # The row itself is in its own window; a first arrival has asked nobody.
-    known = lambda c: F.coalesce(F.col(c), F.lit(0))
-    own_account = X.flag(record) - X.flag(record & (F.col("_newest") >= F.col("ts_us") - S.DAY))
-    return df.join(gathered, ["customer_id", "_place"], "left").select(
-        *[c for c in df.columns if c not in (SEGMENT, "_newest", "_place")],
-        *[(known(f"_n_{w}") + 1).alias(f"n_{w}") for w in COUNTS],
-        *[(known(f"_s_{w}") + amount()).alias(f"s_{w}") for w in SUMS],
-        (known("_q") + squared(amount())).cast("decimal(38,0)").alias("q_24h"),
-        F.lit(None).cast("double").alias("std_24h"),
-        F.greatest(amount(), "_largest").alias("max_24h"),
-        (known("_rounds") + round_flag()).alias("round_24h"),
-        (known("_used") + own_account).alias("accounts_24h"),
+    within = lambda window, column: F.when(F.col("window").isin(window, "all"), F.col(column))
+    gathered = points.where("kind = 1").groupBy("customer_id", "_rank").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        *[F.sum(within(w, "n")).alias(f"n_{w}") for w in COUNTS],
+        *[F.sum(within(w, "s")).alias(f"s_{w}") for w in SUMS],
+        F.sum(within("24h", "q")).cast("decimal(38,0)").alias("q_24h"),
+        F.max(within("24h", "largest")).alias("max_24h"),
+        F.sum(within("24h", "rounds")).alias("round_24h"),
+        F.sum(within("24h", "used")).alias("accounts_24h"),
+    )
+    return gathered.select(
+        "_row.*", *[f"n_{w}" for w in COUNTS], *[f"s_{w}" for w in SUMS], "q_24h",
+        F.lit(None).cast("double").alias("std_24h"), "max_24h", "round_24h", "accounts_24h",
     )

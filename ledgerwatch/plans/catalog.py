@@ -77,7 +77,8 @@ def raw_lines(spark, sf):
     }
     line = F.to_json(F.struct(*[changed.get(f, F.col(f)).alias(f) for f in fields]))
     value = F.when(e % 97 == 0, F.lit("   ")).when(e % 89 == 0, F.substring(line, 1, 90)).otherwise(line)
-    return txns.select(value.alias("value"), "arrival_seq")
+    # A generator's output is computed once; readers filter on the text several times.
+    return txns.select(F.explode(F.array(value)).alias("value"), "arrival_seq")
 
 
 def ingest_valid_rows(spark, sf):
@@ -95,7 +96,8 @@ def parse_event_time(spark, sf):
 def messages(spark, sf):
     txns = transactions(spark, sf)
     topic = F.element_at(F.array(F.lit("transactions"), F.lit("alerts"), F.lit("audit")), (F.col("k") % 3 + 1))
-    return I.envelope(txns, topic, F.col("arrival_seq"), F.col("timestamp"))
+    sent = I.envelope(txns, topic, F.col("arrival_seq"), F.col("timestamp"))
+    return sent.select(F.explode(F.array("value")).alias("value"))
 
 
 def offsets(opened):
@@ -258,28 +260,33 @@ def account_features_serving(spark, sf):
     return rounded(A.account_features_serving(feature_table(spark, sf)))
 
 
+def graph_nodes(spark, sf, coordinated=True):
+    """Account rows, stored once: group totals read them several times."""
+    return G.members(cut_lineage(account_table(spark, sf)), coordinated)
+
+
 def edges_shared_customer(spark, sf):
-    nodes = G.members(account_table(spark, sf), coordinated=False)
+    nodes = graph_nodes(spark, sf, coordinated=False)
     return G.degrees(nodes).select("account_id", "customer_neighbours")
 
 
 def edges_coordinated(spark, sf):
-    return G.degrees(G.members(account_table(spark, sf))).select("account_id", "tier_neighbours")
+    return G.degrees(graph_nodes(spark, sf)).select("account_id", "tier_neighbours")
 
 
 def edges_full(spark, sf):
-    return G.degrees(G.members(account_table(spark, sf))).select("account_id", "neighbours", "edges_out")
+    return G.degrees(graph_nodes(spark, sf)).select("account_id", "neighbours", "edges_out")
 
 
 def graph_stats(spark, sf):
-    return rounded(G.graph_stats(G.members(account_table(spark, sf)), A.ACCOUNT_COLUMNS))
+    return rounded(G.graph_stats(graph_nodes(spark, sf), A.ACCOUNT_COLUMNS))
 
 
 NEIGHBOR_COLUMNS = ["log_mean_amount", "max_cross_ratio_6h", "mean_roundness", "log_txn_count"]
 
 
 def neighbor_mean(spark, sf):
-    nodes = G.members(account_table(spark, sf)).select("account_id", "customer_group", "tier_group", *NEIGHBOR_COLUMNS)
+    nodes = graph_nodes(spark, sf).select("account_id", "customer_group", "tier_group", *NEIGHBOR_COLUMNS)
     return rounded(G.neighbor_mean(nodes, NEIGHBOR_COLUMNS).select("account_id", *[f"mean_{c}" for c in NEIGHBOR_COLUMNS]))
 
 

@@ -140,15 +140,30 @@ def rule(txns: DataFrame, which: Rule, offset: int = 0, closed: str = "left") ->
 
 def bucket_end(us: Column, width: int, offset: int = 0, closed: str = "left") -> Column:
     shifted = us - offset - (1 if closed == "right" else 0)
-    return (F.floor(shifted / F.lit(width)) + 1) * F.lit(width) + offset
+    return shifted - F.pmod(shifted, F.lit(width)) + (width + offset)
+
+
+MATCHED = "_matched"
+
+
+def with_matches(txns: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add a bit mask of the rules a row is of interest to: every predicate is evaluated once."""
+    mask = F.lit(0)
+    for i, r in enumerate(rules):
+        mask = mask + F.when(r.where(), F.lit(1 << i)).otherwise(0)
+    return txns.withColumn(MATCHED, mask)
+
+
+def matches(bits: int) -> Column:
+    return F.col(MATCHED).bitwiseAND(F.lit(bits)) != 0
 
 
 def conditional_aggregates(rules: list[Rule]) -> list[Column]:
     """Sum and count of the rows each rule is interested in, side by side."""
     columns = []
-    for i, r in enumerate(rules):
-        columns.append(F.sum(F.when(r.where(), F.col("amount_minor"))).alias(f"_total{i}"))
-        columns.append(F.count(F.when(r.where(), 1)).alias(f"_rows{i}"))
+    for i in range(len(rules)):
+        columns.append(F.sum(F.when(matches(1 << i), F.col("amount_minor"))).alias(f"_total{i}"))
+        columns.append(F.count(F.when(matches(1 << i), 1)).alias(f"_rows{i}"))
     return columns
 
 
@@ -175,30 +190,25 @@ def flags_of(aggregated: DataFrame, rules: list[Rule], detected_at: Column, extr
 
 def flagged(txns: DataFrame, profile: list[Rule], offset: int = 0, closed: str = "left") -> DataFrame:
     """All rules of a profile: one scan, one shuffle."""
-    windowed = [r for r in profile if r.window is not None]
-    widths = sorted({r.window for r in windowed})
-    row_rules = [r for r in profile if r.window is None]
-
-    def any_of(rules):
-        result = F.lit(False)
-        for r in rules:
-            result = result | F.coalesce(r.where(), F.lit(False))
-        return result
-
+    bits_of = lambda chosen: sum(1 << i for i, r in enumerate(profile) if chosen(r))
     bucket = lambda width, end, row: F.struct(
         F.lit(width).cast("bigint").alias("width"), end.alias("end"), row.alias("row")
     )
     nobody = F.lit(None).cast("bigint")
     targets = [
-        F.when(any_of([r for r in windowed if r.window == w]), bucket(w, bucket_end(F.col("ts_us"), w, offset, closed), nobody))
-        for w in widths
+        F.when(
+            matches(bits_of(lambda r: r.window == width)),
+            bucket(width, bucket_end(F.col("ts_us"), width, offset, closed), nobody),
+        )
+        for width in sorted({r.window for r in profile if r.window is not None})
     ]
     # Rules on single rows travel along under their arrival number, each row its own group.
-    if row_rules:
-        targets.append(F.when(any_of(row_rules), bucket(0, F.col("ts_us"), F.col("arrival_seq"))))
-    columns = ["account_id", "account_tier", "amount", "amount_minor", "type", "channel", "event_ts"]
+    single = bits_of(lambda r: r.window is None)
+    if single:
+        targets.append(F.when(matches(single), bucket(0, F.col("ts_us"), F.col("arrival_seq"))))
     grouped = (
-        txns.select(*columns, F.explode(F.array_compact(F.array(*targets))).alias("_to"))
+        with_matches(txns, profile)
+        .select(*KEYS, "amount_minor", MATCHED, F.explode(F.array_compact(F.array(*targets))).alias("_to"))
         .groupBy(*KEYS, "_to.width", "_to.end", "_to.row")
         .agg(*conditional_aggregates(profile))
     )

@@ -54,9 +54,9 @@ def decode(lines: DataFrame) -> DataFrame:
     """Parse ``value``; ``reason`` says why a line cannot be used, null for good lines."""
     corrupt = T.StructType([*S.TRANSACTION.fields, T.StructField("_corrupt", T.StringType())])
     blank = F.trim("value") == ""
-    parsed = lines.where(~blank).withColumn(
-        "_txn", F.from_json("value", corrupt, {"columnNameOfCorruptRecord": "_corrupt"})
-    )
+    # As a generator's output the struct is parsed once, however many fields and filters use it.
+    once = F.array(F.from_json("value", corrupt, {"columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = lines.where(~blank).select("*", F.explode(once).alias("_txn"))
     reason = F.when(F.col("_txn._corrupt").isNotNull(), "malformed").when(
         F.coalesce(F.col("_txn.customer_id"), F.lit("")) == "", "no_customer"
     )
@@ -107,9 +107,9 @@ def envelope(txns: DataFrame, topic: Column, offset: Column, published_at: Colum
 
 def open_envelope(messages: DataFrame) -> DataFrame:
     """``topic``, ``offset`` and the transaction of JSON messages; broken messages are skipped."""
-    message = F.from_json("value", S.ENVELOPE)
+    message = F.array(F.from_json("value", S.ENVELOPE))
     return (
-        messages.select(message.alias("_m"))
+        messages.select(F.explode(message).alias("_m"))
         .where(F.col("_m.topic").isNotNull())
         .select("_m.topic", F.coalesce("_m.offset", F.lit(0)).alias("offset"), F.col("_m.value").alias("value"))
     )

@@ -31,12 +31,13 @@ def transaction_rows(txns: DataFrame) -> DataFrame:
 
 
 def write_transactions(txns: DataFrame, path: str) -> None:
-    """Day partitions; rewriting a day replaces it, so a repeated run changes nothing."""
+    """Day partitions; rewriting a day replaces it, so a repeated run changes nothing. Rebalancing
+    splits a day, or a customer's share of it, that is too large for one task."""
     rows = transaction_rows(txns).withColumns(
         {"ingested_at": F.current_timestamp(), "txn_date": F.col("txn_timestamp").cast("date")}
     )
     (
-        rows.repartition("txn_date", F.pmod(F.hash("customer_id"), F.lit(64)))
+        rows.hint("rebalance", "txn_date", "customer_id")
         .sortWithinPartitions("customer_id", "txn_timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
+from ..functions.scalars import floor_div
 from ..operators import features as FT
 from ..operators import sliding
 from ..operators import snapshots
@@ -64,8 +65,8 @@ class FeatureStream:
             customers = rows.select("customer_id").distinct()
             tail = self._tail(spark, batch_id, horizon - S.WEEK).join(customers, "customer_id", "left_semi")
             everything = state.unionByName(tail, allowMissingColumns=True)
-        recent = rows.select(*TAIL, F.floor(F.col("ts_us") / S.DAY).alias("day"))
-        recent.repartition("day", F.pmod(F.hash("customer_id"), F.lit(16))).write.mode("overwrite").partitionBy("day").parquet(
+        recent = rows.select(*TAIL, floor_div("ts_us", S.DAY).alias("day"))
+        recent.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
             f"{self.path}/history/batch={batch_id}"
         )
         return FT.assemble(self._windows(everything).where("_new"), list(self.keep))

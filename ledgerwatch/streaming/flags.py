@@ -19,9 +19,9 @@ def flagged(stream: DataFrame, profile: list[R.Rule], delay: str = "1 hour") ->
     parts = [R.single_rows(stream, r) for r in profile if r.window is None]
     for width in sorted({r.window for r in profile if r.window is not None}):
         rules = [r for r in profile if r.window == width]
-        wanted = reduce(lambda a, b: a | b, [F.coalesce(r.where(), F.lit(False)) for r in rules])
         grouped = (
-            timed.where(wanted)
+            R.with_matches(timed, rules)
+            .where(F.col(R.MATCHED) != 0)
             .groupBy(*R.KEYS, F.window("_time", f"{width // 1_000_000} seconds"))
             .agg(*R.conditional_aggregates(rules))
         )
