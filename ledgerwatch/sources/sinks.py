@@ -59,6 +59,19 @@ def write_features(matrix: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def publish(messages: DataFrame, servers: str, checkpoint: str | None = None):
+    """Send ``topic``, ``key``, ``value`` rows to Kafka: a table at once, a stream as a query."""
+    rows = messages.select("topic", "key", "value")
+    if not messages.isStreaming:
+        return rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+    return (
+        rows.writeStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("checkpointLocation", checkpoint)
+        .start()
+    )
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """One JSON document per case, in a folder per customer."""
     reports.withColumn("investigated_at", F.current_timestamp()).write.mode("append").partitionBy("customer_id").json(path)
