@@ -49,7 +49,8 @@ class FeatureStream:
         spark = batch.sparkSession
         log = PartialLog(spark, f"{self.path}/state", batch_id, self.compact_every)
         rows = cut_lineage(batch.select(*FT.INPUT_COLUMNS, *self.keep))
-        horizon = self._horizon(log)
+        seen = self._newest_before(log)
+        horizon = None if seen is None else seen - self.delay_us
         if horizon is not None:
             rows.where(F.col("ts_us") < horizon).write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
             rows = rows.where(F.col("ts_us") >= horizon)
@@ -63,11 +64,16 @@ class FeatureStream:
         everything = state
         if horizon is not None:
             customers = rows.select("customer_id").distinct()
-            tail = self._tail(spark, batch_id, horizon - S.WEEK).join(customers, "customer_id", "left_semi")
+            tail = self._tail(spark, batch_id, horizon - S.WEEK, seen).join(customers, "customer_id", "left_semi")
             everything = state.unionByName(tail, allowMissingColumns=True)
         recent = rows.select(*TAIL, floor_div("ts_us", S.DAY).alias("day"))
-        recent.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
-            f"{self.path}/history/batch={batch_id}"
+        (
+            recent.withColumn("batch", F.lit(batch_id))
+            .hint("rebalance", "day")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch")
+            .parquet(f"{self.path}/history")
         )
         return FT.assemble(self._windows(everything).where("_new"), list(self.keep))
 
@@ -84,21 +90,20 @@ class FeatureStream:
         unit = max(self.rows_per_segment // 8, 1)
         return add_segments(rows, ["customer_id"], "arrival_seq", unit, self.rows_per_segment)
 
-    def _horizon(self, log: PartialLog) -> int | None:
-        """Oldest event time still accepted: newest time of the earlier batches minus the delay."""
+    def _newest_before(self, log: PartialLog) -> int | None:
+        """Newest event time of the earlier batches."""
         newest = F.max("newest").alias("newest")
         clock = log.earlier("_clock", lambda rows: rows.agg(newest))
-        if clock is None:
-            return None
-        seen = clock.agg(newest).first()[0]
-        return None if seen is None else seen - self.delay_us
-
-    def _tail(self, spark: SparkSession, batch_id: int, oldest_us: int) -> DataFrame:
-        """Rows of earlier batches the windows still reach; whole days are pruned by folder."""
-        history = spark.read.schema(HISTORY).parquet(f"{self.path}/history")
-        return history.where(
-            (F.col("batch") < batch_id) & (F.col("day") >= oldest_us // S.DAY) & (F.col("ts_us") >= oldest_us)
-        ).select(*TAIL)
+        return None if clock is None else clock.agg(newest).first()[0]
+
+    def _tail(self, spark: SparkSession, batch_id: int, oldest_us: int, newest_us: int) -> DataFrame:
+        """Rows of earlier batches the windows still reach. Only the folders of those days are
+        listed, so the history behind them may grow or be removed."""
+        days = ",".join(str(d) for d in range(oldest_us // S.DAY, newest_us // S.DAY + 1))
+        history = (
+            spark.read.schema(HISTORY).option("basePath", f"{self.path}/history").parquet(f"{self.path}/history/day={{{days}}}")
+        )
+        return history.where((F.col("batch") < batch_id) & (F.col("ts_us") >= oldest_us)).select(*TAIL)
 
 
 def feature_batches(stream: DataFrame, job: FeatureStream, checkpoint: str, **trigger) -> StreamingQuery:
