@@ -227,11 +227,11 @@ acc AS (
     ln(1 + max(cross_account_sum_24h)) AS log_max_cross_sum_24h, max(cross_account_threshold_ratio) AS max_cross_ratio_24h,
     ln(1 + max(cross_account_sum_6h)) AS log_max_cross_sum_6h, max(cross_account_ratio_6h) AS max_cross_ratio_6h,
     max(amount_zscore) AS max_zscore, max(amount_vs_customer_mean) AS max_vs_mean,
-    max(daily_txn_count) * 1.0 AS max_daily_count, max(hourly_txn_count) * 1.0 AS max_hourly_count, max(daily_velocity) AS max_daily_velocity,
+    max(daily_txn_count) * 1e0 AS max_daily_count, max(hourly_txn_count) * 1e0 AS max_hourly_count, max(daily_velocity) AS max_daily_velocity,
     avg(is_late_night) AS late_night_rate, avg(is_weekend) AS weekend_rate, avg(hour_of_day) / 24.0 AS mean_hour,
-    max(exceeds_atm_daily) * 1.0 AS any_atm_breach, max(exceeds_tier1_daily) * 1.0 AS any_tier1_breach,
-    max(is_near_threshold) * 1.0 AS any_near_threshold, avg(exceeds_atm_daily) + avg(exceeds_tier1_daily) AS breach_rate,
-    arg_min(tier_numeric, arrival_seq) * 1.0 AS tier_numeric, arg_min(accounts_per_customer, arrival_seq) * 1.0 AS accounts_per_customer,
+    max(exceeds_atm_daily) * 1e0 AS any_atm_breach, max(exceeds_tier1_daily) * 1e0 AS any_tier1_breach,
+    max(is_near_threshold) * 1e0 AS any_near_threshold, avg(exceeds_atm_daily) + avg(exceeds_tier1_daily) AS breach_rate,
+    arg_min(tier_numeric, arrival_seq) * 1e0 AS tier_numeric, arg_min(accounts_per_customer, arrival_seq) * 1e0 AS accounts_per_customer,
     ln(1 + count(*)) AS log_txn_count, avg(amount_roundness) AS mean_roundness, max(amount_roundness) AS max_roundness,
     avg(channel_consistency) AS channel_consistency, avg(channel_numeric) AS channel_numeric_mean, avg(type_numeric) AS type_numeric_mean,
     ln(1 + max(sum_1h)) AS log_max_sum_1h, ln(1 + max(sum_24h)) AS log_max_sum_24h, max(is_suspicious) AS label
@@ -331,7 +331,7 @@ def oracles() -> dict[str, str]:
             is_suspicious, suspicious_typology FROM t""",
         "alerts_sink": ruled + f"SELECT {', '.join(alert_columns)}, false AS reviewed, 'PENDING' AS mlro_decision FROM al WHERE risk_score >= 40",
         "high_alert_feed": ruled + "SELECT transaction_id, account_id, customer_id, risk_score, amount, triggered_rules FROM al WHERE risk_tier = 'HIGH'",
-        "features_sink": feat + f"""SELECT transaction_id, {six(['amount', 'sum_24h', 'amount_zscore'])}, count_24h * 1.0 AS count_24h,
+        "features_sink": feat + f"""SELECT transaction_id, {six(['amount', 'sum_24h', 'amount_zscore'])}, count_24h * 1e0 AS count_24h,
             is_suspicious, suspicious_typology FROM feat""",
         "scalar_amount_features": feat + f"SELECT transaction_id, {six(S.FEATURE_COLUMNS[1:7])} FROM feat",
         "scalar_temporal_features": txn + """SELECT transaction_id, hour(event_ts) AS hour_of_day,
@@ -354,11 +354,11 @@ def oracles() -> dict[str, str]:
             ln(1 + min_so_far) AS log_min_amount, std_so_far / greatest(mean_so_far, 1) AS cov_amount, r AS max_threshold_proximity, r AS mean_threshold_proximity,
             ln(1 + sum_24h) AS log_max_cross_sum_24h, r AS max_cross_ratio_24h, ln(1 + cross_account_sum_6h) AS log_max_cross_sum_6h,
             cross_account_ratio_6h AS max_cross_ratio_6h, (max_so_far - mean_so_far) / greatest(std_so_far, 1) AS max_zscore,
-            max_so_far / greatest(mean_so_far, 1) AS max_vs_mean, count_24h * 1.0 AS max_daily_count, count_1h * 1.0 AS max_hourly_count,
-            count_24h / 24.0 AS max_daily_velocity, 0.0 AS late_night_rate, 0.0 AS weekend_rate, hour_of_day / 24.0 AS mean_hour,
-            0.0 AS any_atm_breach, 0.0 AS any_tier1_breach, 0.0 AS any_near_threshold, 0.0 AS breach_rate, accounts_per_customer * 1.0 AS tier_numeric,
-            accounts_per_customer * 1.0 AS accounts_per_customer, ln(1 + txns_so_far) AS log_txn_count, 0.5 AS mean_roundness, 0.5 AS max_roundness,
-            0.5 AS channel_consistency, 1.5 AS channel_numeric_mean, 1.5 AS type_numeric_mean, ln(1 + sum_1h) AS log_max_sum_1h, ln(1 + sum_24h) AS log_max_sum_24h FROM l)
+            max_so_far / greatest(mean_so_far, 1) AS max_vs_mean, count_24h * 1e0 AS max_daily_count, count_1h * 1e0 AS max_hourly_count,
+            count_24h / 24.0 AS max_daily_velocity, 0e0 AS late_night_rate, 0e0 AS weekend_rate, hour_of_day / 24.0 AS mean_hour,
+            0e0 AS any_atm_breach, 0e0 AS any_tier1_breach, 0e0 AS any_near_threshold, 0e0 AS breach_rate, accounts_per_customer * 1e0 AS tier_numeric,
+            accounts_per_customer * 1e0 AS accounts_per_customer, ln(1 + txns_so_far) AS log_txn_count, 5e-1 AS mean_roundness, 5e-1 AS max_roundness,
+            5e-1 AS channel_consistency, 15e-1 AS channel_numeric_mean, 15e-1 AS type_numeric_mean, ln(1 + sum_1h) AS log_max_sum_1h, ln(1 + sum_24h) AS log_max_sum_24h FROM l)
             SELECT account_id, customer_id, {doubles(ACCOUNT_COLUMNS)} FROM v""",
         "edges_shared_customer": edges + "SELECT account_id, count(dst) AS customer_neighbours FROM acc LEFT JOIN by_customer ON src = account_id GROUP BY account_id",
         "edges_coordinated": edges + "SELECT account_id, count(dst) AS tier_neighbours FROM acc LEFT JOIN by_tier ON src = account_id GROUP BY account_id",
