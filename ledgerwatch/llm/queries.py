@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_nbest, simhash, substring_dedup, token_counts
+from . import mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,6 +37,14 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids="digest", keep=("doc_id",))
 
 
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring,
@@ -43,6 +52,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": near_copies,
         "op6_mixing": mixed_sources,
         "op7_sentencepiece": pieces,
+        "op9_quality": document_quality,
+        "pipeline": pipeline,
     }
 
 
