@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts
+from . import mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,11 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids="digest", keep=("doc_id",))
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(read(spark, sf_dir, "pages"), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": near_copies,
         "op6_mixing": mixed_sources,
         "op7_sentencepiece": pieces,
+        "op8_warc": archived,
         "op9_quality": document_quality,
         "pipeline": pipeline,
     }
