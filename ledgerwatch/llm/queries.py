@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
+from . import html_extract, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentencepiece": pieces,
         "op8_warc": archived,
         "op9_quality": document_quality,
+        "op10_html_extract": page_text,
         "pipeline": pipeline,
     }
 
