@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
+from . import embedding_dedup, html_extract, maxscore, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,14 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
@@ -59,6 +67,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring,
         "op2_token_counts": tokens,
         "op3_simhash": near_copies,
+        "op4_embedding_dedup": near_vectors,
+        "op5_maxscore": top_vectors,
         "op6_mixing": mixed_sources,
         "op7_sentencepiece": pieces,
         "op8_warc": archived,
@@ -120,5 +130,20 @@ FROM drawn
 """
 
 
+MAXSCORE_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op6_mixing": MIXING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op5_maxscore": MAXSCORE_SQL, "op6_mixing": MIXING_SQL}
