@@ -108,23 +108,24 @@ def alert_history(txns: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def case_report(alerts: DataFrame, txns: DataFrame, narratives: DataFrame) -> DataFrame:
-    """One report per alert. ``narratives``: transaction_id and the analyst's texts
+    """One report per alert, also where the customer has no history. ``narratives``: transaction_id and the analyst's texts
     pattern_analysis, cross_account_analysis, risk_assessment, str_draft; no model is called here."""
     customers = alerts.select("customer_id").distinct()
     history = txns.join(customers, "customer_id", "left_semi")
     accounts = history.groupBy("customer_id", "account_id").count().groupBy("customer_id").agg(
         F.array_sort(F.collect_set("account_id")).alias("all_accounts")
     )
-    several = F.size("all_accounts") > 1
+    several = F.coalesce(F.size("all_accounts") > 1, F.lit(False))
     verdict = recommendation(strip_reasoning("risk_assessment"))
     alert = F.struct(*[c for c in alerts.columns if c not in ("arrival_seq", "event_ts", "is_suspicious")])
     return (
-        alerts.join(accounts, "customer_id")
-        .join(history_summary(history).select("customer_id", "summary"), "customer_id")
+        alerts.join(accounts, "customer_id", "left")
+        .join(history_summary(history).select("customer_id", "summary"), "customer_id", "left")
         .join(narratives, "transaction_id", "left")
         .select(
-            "transaction_id", "customer_id", "account_id", alert.alias("alert"), "all_accounts",
-            F.col("summary").alias("history"),
+            "transaction_id", "customer_id", "account_id", alert.alias("alert"),
+            F.coalesce("all_accounts", F.array().cast("array<string>")).alias("all_accounts"),
+            F.coalesce("summary", F.lit(NO_HISTORY)).alias("history"),
             F.struct(
                 "pattern_analysis",
                 F.when(several, F.col("cross_account_analysis")).alias("cross_account_analysis"),

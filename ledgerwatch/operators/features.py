@@ -43,16 +43,23 @@ def split_by_size(
     hot, found = broadcast_if_small(counted)
     if not found:
         return txns, None
-    return txns.join(hot, "customer_id", "left_anti"), txns.join(hot, "customer_id", "left_semi")
+    # Rows without customer may be a hot group too, so nulls match.
+    same = F.col("customer_id").eqNullSafe(F.col("_hot"))
+    hot = hot.withColumnRenamed("customer_id", "_hot")
+    return txns.join(hot, same, "left_anti"), txns.join(hot, same, "left_semi")
 
 
 def std_from_sums(n: Column, total: Column, squares: Column) -> Column:
-    """Population deviation from exact integer sums; in floating point once n is very large."""
-    small = n <= 1_000_000
-    exact = (n.cast("decimal(38,0)") * squares - total.cast("decimal(38,0)") * total.cast("decimal(38,0)")).cast("double")
-    mean = total.cast("double") / n
-    rough = squares.cast("double") / n - mean * mean
-    variance = F.when(small, exact / (n.cast("double") * n)).otherwise(rough)
+    """Population deviation from exact integer sums, the same way for every n.
+
+    Squares are taken around the mean's integer part m: their sum q - 2mt + nm² is exact, and what is left of the
+    mean is below one, so nothing large cancels in floating point and no product outgrows the decimals.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    floor = X.floor_div(total, n)
+    rest = (total - floor * n).cast("double")
+    around = (wide(squares) - wide(floor) * (total + (total - floor * n)).cast("decimal(20,0)")).cast("double")
+    variance = (around - rest * rest / n) / n
     return F.sqrt(F.greatest(variance, F.lit(0.0))) / 100.0
 
 

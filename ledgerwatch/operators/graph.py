@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scaling import Scaler
+
 # Fixed value: 6 h ratio from which accounts of one tier are linked.
 COORDINATED_RATIO = 0.5
 
@@ -63,11 +65,14 @@ def degrees(nodes: DataFrame) -> DataFrame:
 
 
 def graph_stats(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Node, edge and class counts; multi-account customers; largest absolute feature value."""
-    largest = F.greatest(*[F.max(F.abs(F.col(c))) for c in columns])
+    """Node, edge and class counts; multi-account customers; number of features, whether any is missing or NaN,
+    and the largest absolute value of a feature after scaling."""
+    largest = F.greatest(*[F.max(F.abs(e)) for e in Scaler.fit(nodes, columns).expressions()])
+    missing = F.bool_or(F.greatest(*[(F.isnan(F.col(c)) | F.col(c).isNull()).cast("int") for c in columns]) == 1)
     base = nodes.agg(
         F.count("*").alias("nodes"), F.count_if(F.col("label") == 1).alias("suspicious_nodes"),
         F.count_if(F.col("label") == 0).alias("normal_nodes"), largest.alias("max_feature_value"),
+        F.lit(len(columns)).alias("features"), F.coalesce(missing, F.lit(False)).alias("has_nan"),
     )
     edges = degrees(nodes).agg(F.sum("edges_out").cast("bigint").alias("edges"))
     groups = nodes.groupBy("customer_group").count().where(F.col("count") > 1)

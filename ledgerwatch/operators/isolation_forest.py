@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-POOL = 8192
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -28,11 +27,6 @@ def expected_depth(n: float) -> float:
 def _grower(sample_size: int, seed: int):
     limit = int(np.ceil(np.log2(max(sample_size, 2))))
 
-    def path_correction(n):
-        if n <= 2:
-            return float(max(n - 1, 0))
-        return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
-
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         ordered = group.sort_values("id")
@@ -49,7 +43,7 @@ def _grower(sample_size: int, seed: int):
             low, high = part.min(axis=0), part.max(axis=0)
             open_features = np.flatnonzero(high > low)
             if depth >= limit or len(rows) <= 1 or not len(open_features):
-                nodes.append([tree, me, -1, 0.0, me, me, depth + path_correction(len(rows))])
+                nodes.append([tree, me, -1, 0.0, me, me, depth + expected_depth(len(rows))])
                 continue
             feature = int(rng.choice(open_features))
             threshold = float(rng.uniform(low[feature], high[feature]))
@@ -62,12 +56,15 @@ def _grower(sample_size: int, seed: int):
     return grow
 
 
-def fit(points: DataFrame, trees: int = 200, sample_size: int = 256, seed: int = 42) -> DataFrame:
+def fit(points: DataFrame, trees: int = 200, sample_size: int = 256, seed: int = 42, pool_size: int | None = None) -> DataFrame:
     """Node table of the forest. ``points``: id, x (array of doubles).
 
-    Samples are drawn from a uniform pool of fixed size, taken by the smallest hash values.
+    Each tree draws ``sample_size`` rows from one uniform pool, taken by the smallest hash values over all rows.
+    ``pool_size`` bounds the rows that all trees see together and that are sent to every executor; by default
+    it grows with the forest, to a quarter of what trees would take without sharing rows.
     """
-    pool = cut_lineage(points.select("id", "x").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(POOL))
+    pool_size = pool_size or max(sample_size, trees * sample_size // 4)
+    pool = cut_lineage(points.select("id", "x").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pool_size))
     draw = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "id"), "id")
     drawn = (
         pool.select("id")
@@ -76,7 +73,7 @@ def fit(points: DataFrame, trees: int = 200, sample_size: int = 256, seed: int =
         .where(F.col("_place") <= sample_size)
         .select("tree", "id")
     )
-    samples = drawn.join(F.broadcast(pool), "id")  # the pool has a fixed size
+    samples = drawn.join(F.broadcast(pool), "id")  # at most pool_size rows
     return samples.groupBy("tree").applyInPandas(_grower(sample_size, seed), NODE_SCHEMA)
 
 

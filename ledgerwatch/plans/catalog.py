@@ -131,7 +131,10 @@ def transactions_upsert(spark, sf):
     e = F.col("arrival_seq")
     txns = transactions(spark, sf).withColumn("channel", F.when(e % 7 != 0, F.col("channel")))
     resent = txns.where(e % 4 == 0).withColumns({"amount": F.col("amount") + 1, "arrival_seq": e + 1_000_000_000})
-    return sinks.transaction_rows(txns.unionByName(resent)).select(
+    path = scratch_path(spark, "transactions")
+    sinks.write_transactions(txns, path)
+    sinks.write_transactions(resent, path)  # touches every day, replaces a part of its rows
+    return spark.read.parquet(path).select(
         "transaction_id", "account_id", "customer_id", "account_tier", "amount", "currency", "txn_type", "channel",
         "location", "balance_after", "txn_timestamp", "is_suspicious", "suspicious_typology",
     )
@@ -156,7 +159,7 @@ def features_sink(spark, sf):
     path = scratch_path(spark, "features")
     sinks.write_features(FT.feature_matrix(transactions(spark, sf)), path, "csv")
     back = I.read_features(spark, path, "csv")
-    return rounded(back.select("transaction_id", "amount", "sum_24h", "amount_zscore", "count_24h", "is_suspicious", "suspicious_typology"))
+    return rounded(back)
 
 
 # Scalars ---------------------------------------------------------------------------------------
@@ -282,7 +285,7 @@ def graph_stats(spark, sf):
     return rounded(G.graph_stats(graph_nodes(spark, sf), A.ACCOUNT_COLUMNS))
 
 
-NEIGHBOR_COLUMNS = ["log_mean_amount", "max_cross_ratio_6h", "mean_roundness", "log_txn_count"]
+NEIGHBOR_COLUMNS = A.ACCOUNT_COLUMNS
 
 
 def neighbor_mean(spark, sf):
@@ -306,7 +309,7 @@ def structuring_report(spark, sf):
     return rounded(A.structuring_report(feature_table(spark, sf)).drop("arrival_seq"))
 
 
-PROFILED = ["amount", "amount_roundness", "hour_of_day", "channel_numeric", "type_numeric", "sum_24h", "count_24h", "is_near_threshold"]
+PROFILED = S.FEATURE_COLUMNS
 
 
 def feature_profile(spark, sf):
@@ -393,7 +396,9 @@ def top_alert(spark, sf):
 
 
 def high_alert_candidates(spark, sf):
-    return E.high_alert_candidates(fused_table(spark, sf)).select("transaction_id", "risk_score", "risk_tier")
+    """Candidates among the newest rows: the list is taken in the order given, here latest first."""
+    newest_first = fused_table(spark, sf).withColumn("arrival_seq", -F.col("arrival_seq"))
+    return E.high_alert_candidates(newest_first).select("transaction_id", "risk_score", "risk_tier")
 
 
 def customer_snapshot(spark, sf):
@@ -413,10 +418,11 @@ def history_summary(spark, sf):
 
 
 def account_breakdown(spark, sf):
-    """Withdrawals of every account of the customer, accounts without any included."""
+    """The whole history of every account of the customer; each customer also lists an account without rows."""
     txns = transactions(spark, sf)
-    listed = txns.select("customer_id", "account_id").distinct()
-    return rounded(E.account_breakdown(txns.where("type = 'withdrawal' AND amount > 400000"), listed))
+    unused = txns.select("customer_id", F.concat("customer_id", F.lit("-UNUSED")).alias("account_id"))
+    listed = txns.select("customer_id", "account_id").union(unused).distinct()
+    return rounded(E.account_breakdown(txns, listed))
 
 
 def alert_history(spark, sf):
@@ -491,11 +497,10 @@ def sage_forward(spark, sf):
 
 
 def score_end_to_end(spark, sf):
-    """Features, three trained models, fusion, rules and alert records. A smaller forest than the
-    default keeps the query short; all rows are trained on and scored."""
+    """Features, three trained models, fusion, rules and alert records."""
     wide = cut_lineage(feature_table(spark, sf))
     data = MD.TrainingSet.build(wide)
-    forest = MD.fit_random_forest(MD.oversample(data), trees=20)
+    forest = MD.fit_random_forest(MD.oversample(data))
     anomaly = MD.fit_isolation_forest(data)
     graph = GM.graph_scores(A.account_features(wide))
     ruled = MD.score_transactions(wide, data.scaler, anomaly, forest, graph).withColumn("triggered_rules", SC.triggered_rules())
@@ -510,15 +515,15 @@ def event_stream(spark, sf):
     return derive(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def arrival_stream(spark, sf, batches=3):
-    """The whole table as a stream of several files, written and delivered in arrival order."""
+def arrival_stream(spark, sf, batches=3, files=4):
+    """The whole table as a stream of several batches in arrival order, each of ``files`` files."""
     path = scratch_path(spark, "arrivals")
     txns = transactions(spark, sf)
     last = txns.agg(F.max("arrival_seq")).first()[0] + 1
     for i in range(batches):
         inside = (F.col("arrival_seq") >= last * i // batches) & (F.col("arrival_seq") < last * (i + 1) // batches)
-        txns.where(inside).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        txns.where(inside).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_flagged(spark, sf):

@@ -331,8 +331,8 @@ def oracles() -> dict[str, str]:
             is_suspicious, suspicious_typology FROM t""",
         "alerts_sink": ruled + f"SELECT {', '.join(alert_columns)}, false AS reviewed, 'PENDING' AS mlro_decision FROM al WHERE risk_score >= 40",
         "high_alert_feed": ruled + "SELECT transaction_id, account_id, customer_id, risk_score, amount, triggered_rules FROM al WHERE risk_tier = 'HIGH'",
-        "features_sink": feat + f"""SELECT transaction_id, {six(['amount', 'sum_24h', 'amount_zscore'])}, count_24h * 1e0 AS count_24h,
-            is_suspicious, suspicious_typology FROM feat""",
+        "features_sink": feat + "SELECT " + ", ".join(f"round({c} * 1e0, 6) AS {c}" for c in S.FEATURE_COLUMNS)
+            + f", {', '.join([*S.LABEL_COLUMNS, *S.ID_COLUMNS])} FROM feat",
         "scalar_amount_features": feat + f"SELECT transaction_id, {six(S.FEATURE_COLUMNS[1:7])} FROM feat",
         "scalar_temporal_features": txn + """SELECT transaction_id, hour(event_ts) AS hour_of_day,
             CAST(hour(event_ts) BETWEEN 1 AND 4 AS INT) AS is_late_night, CAST(isodow(event_ts) >= 6 AS INT) AS is_weekend FROM t""",
@@ -365,7 +365,9 @@ def oracles() -> dict[str, str]:
         "edges_full": edges + "SELECT src AS account_id, count(*) - 1 AS neighbours, count(*) AS edges_out FROM edges GROUP BY src",
         "graph_stats": edges + f"""SELECT (SELECT count(*) FROM acc) AS nodes, (SELECT count(*) FROM acc WHERE label = 1) AS suspicious_nodes,
             (SELECT count(*) FROM acc WHERE label = 0) AS normal_nodes,
-            (SELECT round(greatest({', '.join(f'max(abs({c}))' for c in ACCOUNT_COLUMNS)}), 6) FROM acc) AS max_feature_value,
+            (SELECT round(greatest({', '.join(f'max(abs(({c} - m_{c}) / s_{c}))' for c in ACCOUNT_COLUMNS)}), 6) FROM acc CROSS JOIN
+              (SELECT {', '.join(f'avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}' for c in ACCOUNT_COLUMNS)} FROM acc)) AS max_feature_value,
+            {len(ACCOUNT_COLUMNS)} AS features, (SELECT bool_or({' OR '.join(f'isnan({c} * 1e0) OR {c} IS NULL' for c in ACCOUNT_COLUMNS)}) FROM acc) AS has_nan,
             (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT customer_id FROM acc GROUP BY 1 HAVING count(*) > 1)) AS multi_account_customers,
             (SELECT count(*) FROM by_customer) AS shared_customer_edges""",
         "neighbor_mean": edges + "SELECT src AS account_id, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in NEIGHBOR_COLUMNS)
@@ -411,7 +413,7 @@ def oracles() -> dict[str, str]:
             count(*) FILTER (risk_tier = 'HIGH') AS high_alerts, count(*) FILTER (risk_tier = 'MEDIUM') AS medium_alerts,
             count(*) FILTER (risk_score >= 40) AS alerts FROM f""",
         "top_alert": fused + "SELECT transaction_id, account_id, customer_id, risk_score, risk_tier FROM f ORDER BY risk_score DESC, arrival_seq LIMIT 1",
-        "high_alert_candidates": fused + """SELECT transaction_id, risk_score, risk_tier FROM (SELECT * FROM f ORDER BY arrival_seq LIMIT 500)
+        "high_alert_candidates": fused + """SELECT transaction_id, risk_score, risk_tier FROM (SELECT * FROM f ORDER BY arrival_seq DESC LIMIT 500)
             WHERE risk_tier = 'HIGH' AND risk_score >= 85""",
         "customer_snapshot": fused.rstrip() + LATE_FUSED + SNAPSHOT,
         "stream_snapshot": fused.rstrip() + ", g AS (SELECT * FROM f)" + SNAPSHOT,
@@ -420,9 +422,9 @@ def oracles() -> dict[str, str]:
             + """) WHERE rule_triggered = 'LATE_NIGHT_HIGH_VALUE' OR detected_at <= (SELECT max(event_ts) - INTERVAL 1 hour FROM t)""",
         "recent_history": f"WITH {TXN}{HISTORY} SELECT customer_id, transaction_id, place FROM ranked WHERE place <= 10",
         "history_summary": f"WITH {TXN}{HISTORY} SELECT * FROM history",
-        "account_breakdown": txn.rstrip() + """, w AS (SELECT DISTINCT customer_id, account_id FROM t), o AS (
+        "account_breakdown": txn.rstrip() + """, w AS (SELECT customer_id, account_id FROM t UNION SELECT customer_id, customer_id || '-UNUSED' FROM t), o AS (
             SELECT w.customer_id, w.account_id, count(t.m) AS transactions, CAST(coalesce(sum(t.m), 0) AS BIGINT) AS s FROM w LEFT JOIN t
-              ON t.account_id = w.account_id AND t.customer_id = w.customer_id AND type = 'withdrawal' AND amount > 400000 GROUP BY 1, 2)
+              ON t.account_id = w.account_id AND t.customer_id = w.customer_id GROUP BY 1, 2)
             SELECT customer_id, account_id, transactions, s / 100.0 AS total, CAST(sum(s) OVER c AS BIGINT) / 100.0 AS combined_total,
             round(CAST(sum(s) OVER c AS BIGINT) / 100.0 / 5000000, 6) AS threshold_multiple FROM o WINDOW c AS (PARTITION BY customer_id)""",
         "alert_history": fused + """SELECT customer_id, transaction_id FROM t WHERE customer_id = (SELECT customer_id FROM f ORDER BY risk_score DESC, arrival_seq LIMIT 1)""",

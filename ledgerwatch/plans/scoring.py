@@ -74,31 +74,38 @@ ALERT_COLUMNS = [
 ]
 
 
-def score(features: DataFrame, scores: DataFrame) -> DataFrame:
-    """One scored record per transaction. ``scores`` holds the three model scores by transaction."""
-    ruled = features.select(
-        "transaction_id", "account_id", "customer_id", "account_tier", "amount",
-        "event_ts", "arrival_seq", "is_suspicious", triggered_rules(),
-    )
-    joined = ruled.join(scores, "transaction_id")
-    return score_rows(joined)
+def with_defaults(txns: DataFrame) -> DataFrame:
+    """Missing fields take the values that stored rows and features assume."""
+    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in S.FIELD_DEFAULTS.items() if c in txns.columns}
+    if "amount_minor" in txns.columns:
+        filled["amount_minor"] = F.coalesce("amount_minor", F.lit(0).cast("bigint"))
+    return txns.withColumns(filled)
+
+
+REPORTED = ("reported_tier", "reported_customer")
+
+
+def scoring_input(txns: DataFrame) -> DataFrame:
+    """Rows as rules and models see them, defaults filled; what was reported stays beside, for alerts and snapshots."""
+    return with_defaults(txns.withColumns({"reported_tier": F.col("account_tier"), "reported_customer": F.col("customer_id")}))
 
 
 def score_rows(rows: DataFrame) -> DataFrame:
     """Alert records of rows that already carry rules and model scores: no shuffle."""
+    tier = "reported_tier" if "reported_tier" in rows.columns else "account_tier"
     known = F.when(F.col("transaction_id").isNull(), "UNKNOWN").otherwise(F.col("transaction_id"))
     filled = rows.withColumns(
         {
             "transaction_id": known,
             "account_id": F.coalesce("account_id", F.lit("UNKNOWN")),
             "customer_id": F.coalesce("customer_id", F.lit("UNKNOWN")),
-            "account_tier": F.coalesce("account_tier", F.lit("UNKNOWN")),
+            "account_tier": F.coalesce(tier, F.lit("UNKNOWN")),
             "timestamp": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
         }
     )
     fused = with_regulation(fuse(filled))
     rounded = {c: F.round(F.col(c).cast("double"), 4) for c in S.FUSION_WEIGHTS}
-    extra = [c for c in ("event_ts", "arrival_seq", "is_suspicious") if c in rows.columns]
+    extra = [c for c in ("event_ts", "arrival_seq", "is_suspicious", "reported_customer") if c in rows.columns]
     return fused.withColumns(rounded).select(*ALERT_COLUMNS, *extra)
 
 

@@ -24,10 +24,13 @@ def local_session(cores: int = 8, app: str = "ledgerwatch") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured, as in tests."""
+    """The cluster's shared folder; a local one only where none is configured and all tasks run in this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="ledgerwatch-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback

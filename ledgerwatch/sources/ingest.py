@@ -139,4 +139,6 @@ def read_topic(spark: SparkSession, servers: str, topic: str, starting: str = "e
     )
     if max_records:
         reader = reader.option("maxOffsetsPerTrigger", max_records)
-    return reader.load().select(F.col("value").cast("string").alias("value"), F.col("offset").alias("arrival_seq"))
+    # Offsets repeat over partitions; with the partition behind them they order rows without ties.
+    position = F.shiftleft(F.col("offset"), 16).bitwiseOR(F.col("partition").cast("bigint"))
+    return reader.load().select(F.col("value").cast("string").alias("value"), position.alias("arrival_seq"))

@@ -2,13 +2,14 @@
 
 A micro-batch is processed with the same declarative plans as a table, so a busy customer is split
 there as well. Earlier batches enter as partials (see ``state``) and, for the sliding windows, as the
-rows of the last seven days plus the allowed delay. Rows later than that go to quarantine.
+rows of the seven days before the oldest row of the batch. A row may be late by any time: the history
+behind it is read as far as its windows reach, and the result doesn't depend on how rows fall into batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,6 @@ class FeatureStream:
     """``path`` holds state and outputs; ``keep`` names extra input columns carried along."""
 
     path: str
-    delay_us: int = S.HOUR
     keep: tuple[str, ...] = ()
     compact_every: int = 20
     max_rows: int = FT.MAX_ROWS
@@ -50,21 +50,17 @@ class FeatureStream:
         log = PartialLog(spark, f"{self.path}/state", batch_id, self.compact_every)
         rows = cut_lineage(batch.select(*FT.INPUT_COLUMNS, *self.keep))
         seen = self._newest_before(log)
-        horizon = None if seen is None else seen - self.delay_us
-        if horizon is not None:
-            rows.where(F.col("ts_us") < horizon).write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
-            rows = rows.where(F.col("ts_us") >= horizon)
-        newest = rows.agg(F.max("ts_us").alias("newest"))
-        log.append("_clock", newest)
+        oldest = rows.agg(F.min("ts_us")).first()[0]
+        log.append("_clock", rows.agg(F.max("ts_us").alias("newest")))
 
         _, busy = FT.split_by_size(rows, self.max_rows, self.max_rows_per_week)
         running_rows = rows if busy is None else self._segmented(rows)
         state = FT.baseline(running_rows, "arrival", RunningState(log)).withColumn("_new", F.lit(True))
         state = cut_lineage(state.drop(SEGMENT))
         everything = state
-        if horizon is not None:
+        if seen is not None and oldest is not None and seen >= oldest - S.WEEK:
             customers = rows.select("customer_id").distinct()
-            tail = self._tail(spark, batch_id, horizon - S.WEEK, seen).join(customers, "customer_id", "left_semi")
+            tail = self._tail(spark, batch_id, oldest - S.WEEK, seen).join(customers, "customer_id", "left_semi")
             everything = state.unionByName(tail, allowMissingColumns=True)
         recent = rows.select(*TAIL, floor_div("ts_us", S.DAY).alias("day"))
         (
@@ -118,7 +114,7 @@ def feature_batches(stream: DataFrame, job: FeatureStream, checkpoint: str, **tr
 def score_batches(
     stream: DataFrame, job: FeatureStream, models: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """The whole consumer: features, model scores, rules, fusion; writes transactions, alerts, the
+    """The whole consumer: features, model scores, rules, fusion; upserts transactions, and writes alerts, the
     high-alert feed, run counters and customer snapshot deltas, each under its batch.
 
     ``models`` adds iso_score, rf_score and gnn_score to feature rows.
@@ -128,14 +124,18 @@ def score_batches(
         out = lambda name: f"{job.path}/{name}/batch={batch_id}"
         save = lambda df, name: df.write.mode("overwrite").parquet(out(name))
         if "location" in batch.columns:
-            save(sinks.transaction_rows(batch), "transactions")
-        ruled = models(job.batch_features(batch, batch_id)).withColumn("triggered_rules", scoring.triggered_rules())
+            sinks.write_transactions(batch, f"{job.path}/transactions")
+        carried = replace(job, keep=tuple(dict.fromkeys([*job.keep, *scoring.REPORTED])))
+        wide = carried.batch_features(scoring.scoring_input(batch), batch_id)
+        ruled = models(wide).withColumn("triggered_rules", scoring.triggered_rules())
         scored = scoring.score_rows(ruled).withColumn("amount_minor", F.round(F.col("amount") * 100).cast("bigint"))
         scored = cut_lineage(scored)
-        save(scoring.stored_alerts(scored), "alerts")
-        save(scoring.high_alerts(scored), "high_alerts")
+        alerts = scored.drop("reported_customer")
+        save(scoring.stored_alerts(alerts), "alerts")
+        save(scoring.high_alerts(alerts), "high_alerts")
         save(scoring.summary(scored), "counters")
-        save(snapshots.delta(scored.withColumn("is_suspicious", F.col("is_suspicious") == 1)), "snapshot_deltas")
+        known = scored.where(F.coalesce("reported_customer", F.lit("")) != "")
+        save(snapshots.delta(known.withColumn("is_suspicious", F.col("is_suspicious") == 1)), "snapshot_deltas")
 
     return _start(stream, process, checkpoint, trigger)
 

@@ -1,11 +1,10 @@
-from builders import frame, mismatches, random_rows, replay
+from builders import frame, mismatches, random_rows, replay, txn
 
-from ledgerwatch import schema as S
 from ledgerwatch.streaming.features import FeatureStream
 
 
 def run(spark, folder, rows, batches, **options):
-    job = FeatureStream(folder, delay_us=8 * S.DAY, **options)
+    job = FeatureStream(folder, **options)
     size = -(-len(rows) // batches)
     parts = []
     for i in range(batches):
@@ -28,18 +27,14 @@ def test_hot_customers_are_segmented_in_batches(spark, folder):
 
 def test_repeated_batch_changes_nothing(spark, folder):
     rows = random_rows(60, ["C1", "C2"], seed=23)
-    job = FeatureStream(folder, delay_us=8 * S.DAY)
+    job = FeatureStream(folder)
     job.batch_features(frame(spark, rows[:30]), 0).count()
     first = job.batch_features(frame(spark, rows[30:]), 1).orderBy("arrival_seq").collect()
     again = job.batch_features(frame(spark, rows[30:]), 1).orderBy("arrival_seq").collect()
     assert first == again
 
 
-def test_rows_beyond_the_delay_are_set_aside(spark, folder):
-    from builders import txn
-
-    job = FeatureStream(folder, delay_us=S.HOUR)
-    job.batch_features(frame(spark, [txn(1, 0), txn(2, 90_000)]), 0).count()
-    result = job.batch_features(frame(spark, [txn(3, 80_000), txn(4, 90_001)]), 1)
-    assert [r["transaction_id"] for r in result.collect()] == ["T4"]
-    assert [r["transaction_id"] for r in spark.read.parquet(f"{folder}/quarantine").collect()] == ["T3"]
+def test_late_rows_are_featured_whatever_the_batches(spark, folder):
+    rows = [txn(1, 0), txn(2, 90_000), txn(3, 2_000_000), txn(4, 80_000), txn(5, 90_001), txn(6, 2_000_100), txn(7, 100)]
+    for batches in (1, 2, 3, 7):
+        assert mismatches(run(spark, f"{folder}/{batches}", rows, batches), replay(rows)) == []
