@@ -255,7 +255,7 @@ def kept_texts(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, key: str = "doc_id", keep: str = "text",
-                   block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+                   block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Removes the words that a window of ``length`` words covers which also starts in a document with a smaller id.
 
     ``keep``: "text" returns the columns of ``docs`` with the kept words, joined by one space, as text (texts that
@@ -266,8 +266,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, key: str = "doc_id", keep:
     if keep == "digest":
         docs = docs.select(key, "text")
     frequent, size = frequent_pairs(docs, length)
-    blocks = max(2 * shuffle_width(spark), size // block_bytes + 1)
-    buckets = max(1024, 3 * size // bucket_bytes)
+    # Every block sends one packed row to each bucket, so both counts follow the size, or the tasks where it is small.
+    blocks = max(shuffle_width(spark), size // block_bytes + 1)
+    buckets = max(4 * shuffle_width(spark), 3 * size // bucket_bytes)
     fields = docs.columns
     dealt = docs.withColumn(block, F.pmod(F.xxhash64(column(key)), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(shuffle_width(spark), F.col(block))
