@@ -72,7 +72,7 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     sizes = docs.select("source", size_of(F.col("text")).alias("size"))
     inner = docs.select("*", F.col("source").alias(free_name(docs, "_source")))
     source = inner.columns[-1]
-    per_source = rates(sizes, **options).select("source", (F.col("target") / F.col("source_size")).alias(free_name(docs, "_rate")))
+    per_source = rates(sizes, **options).select("source", F.try_divide("target", "source_size").alias(free_name(docs, "_rate")))
     rate = per_source.columns[-1]
     found = with_rates(inner, per_source, source).where(F.col(rate) > 0)
     return found.withColumn(source, F.explode(F.array_repeat(F.lit(1), copies(column(key), F.col(rate)).cast("int")))).select(*map(column, docs.columns))
