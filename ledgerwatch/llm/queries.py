@@ -84,19 +84,19 @@ SUBSTRING_SQL = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents
 ), placed AS (
-  SELECT doc_id, unnest(range(1, len(w) - 11)) AS at, w FROM words WHERE len(w) >= 13
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM words WHERE len(w) >= 13
 ), windows AS (
-  SELECT doc_id, at, array_to_string(w[at : at + 12], ' ') AS win FROM placed
+  SELECT doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS win FROM placed
 ), earliest AS (
   SELECT win, min(doc_id) AS low FROM windows GROUP BY win
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS at
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos
   FROM windows JOIN earliest USING (win) WHERE low < doc_id
 ), lists AS (
-  SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id
+  SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+  sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM words LEFT JOIN lists USING (doc_id)
 """
 
@@ -115,7 +115,8 @@ WITH sized AS (
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM sources
 ), chosen AS (
-  SELECT min(level) AS level FROM levels WHERE level * weight < 2 * source_size
+  SELECT arg_min(level, place) AS level FROM (SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST) AS place FROM levels)
+  WHERE level * weight < 2 * source_size
 ), targets AS (
   SELECT source, source_size, coalesce(least(chosen.level * weight, 2 * source_size), 2 * source_size)::DOUBLE AS target
   FROM levels CROSS JOIN chosen
@@ -132,11 +133,11 @@ FROM drawn
 
 MAXSCORE_SQL = """
 WITH usable AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
 ), scores AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scores
