@@ -34,7 +34,7 @@ def _one_statistic(values: DataFrame, rank: int, bins: int, small: int):
             return sorted(r["v"] for r in inside.collect())[rank - 1]
         if isinstance(low, int):  # hash values fill the whole range of a bigint: decimals hold every difference
             place = (F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) * F.lit(bins)
-            bin_of = F.floor(place / F.lit(high - low + 1).cast("decimal(20,0)")).cast("int")
+            bin_of = F.floor(place / F.lit(str(high - low + 1)).cast("decimal(20,0)")).cast("int")
         else:
             width = (high - low) / bins
             bin_of = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
