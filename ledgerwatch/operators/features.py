@@ -39,10 +39,10 @@ def split_by_size(
     txns: DataFrame, max_rows: int = MAX_ROWS, max_rows_per_week: int = MAX_ROWS_PER_WEEK
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary customers, and rows of hot customers if there are any."""
-    counted = cut_lineage(hot_keys(txns, "customer_id", "ts_us", max_rows, max_rows_per_week))
-    hot, found = broadcast_if_small(counted)
-    if not found:
+    hot = hot_keys(txns, "customer_id", "ts_us", max_rows, max_rows_per_week)
+    if hot.isEmpty():
         return txns, None
+    hot, _ = broadcast_if_small(cut_lineage(hot))
     # Rows without customer may be a hot group too, so nulls match.
     same = F.col("customer_id").eqNullSafe(F.col("_hot"))
     hot = hot.withColumnRenamed("customer_id", "_hot")

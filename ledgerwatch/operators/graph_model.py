@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or
@@ -25,9 +27,12 @@ KEYS = ["account_id", "customer_group", "tier_group"]
 def scaled_nodes(accounts: DataFrame, coordinated: bool = True) -> DataFrame:
     """Group membership, split, label and scaled features per account; non-finite values are zero."""
     nodes = node_split(cut_lineage(members(accounts, coordinated)))
-    scaler = Scaler.fit(nodes, ACCOUNT_COLUMNS)
-    clean = [finite_or(e, 0.0).alias(c) for e, c in zip(scaler.expressions(), ACCOUNT_COLUMNS)]
-    return nodes.select(*KEYS, "label", "split", *clean)
+    return scaled(nodes, Scaler.fit(nodes, ACCOUNT_COLUMNS), "label", "split")
+
+
+def scaled(nodes: DataFrame, scaler: Scaler, *kept: str) -> DataFrame:
+    clean = [finite_or(e, 0.0).alias(c) for e, c in zip(scaler.expressions(), scaler.columns)]
+    return nodes.select(*KEYS, *kept, *clean)
 
 
 def random_weights(seed: int = 42, inputs: int = len(ACCOUNT_COLUMNS)) -> list[tuple]:
@@ -81,24 +86,53 @@ def _dense(shared):
     return dense
 
 
-def hops(nodes: DataFrame) -> DataFrame:
+def hops(nodes: DataFrame, *kept: str) -> DataFrame:
     """x, its neighbour mean and the neighbour mean of that, side by side (Frasca et al. 2020)."""
     once = neighbor_mean(nodes, ACCOUNT_COLUMNS)
     near = [f"mean_{c}" for c in ACCOUNT_COLUMNS]
     once = cut_lineage(once)
     twice = neighbor_mean(once, near)
     far = [f"mean_{c}" for c in near]
-    return twice.select(
-        "account_id", "label", "split", F.array(*ACCOUNT_COLUMNS, *near, *far).alias("x")
-    )
+    return twice.select("account_id", *kept, F.array(*ACCOUNT_COLUMNS, *near, *far).alias("x"))
 
 
-def graph_scores(accounts: DataFrame, seed: int = 42, iterations: int = 100) -> DataFrame:
-    """Suspicion probability per account from precomputed hops and a multilayer perceptron.
+@dataclass(frozen=True)
+class GraphModel:
+    """A trained perceptron over hops, with the scaler of its training accounts."""
+
+    scaler: Scaler
+    perceptron: MultilayerPerceptronClassificationModel
+
+    def probabilities(self, wide: DataFrame) -> DataFrame:
+        scored = self.perceptron.transform(wide.withColumn("features", array_to_vector("x")))
+        kept = [c for c in ("account_id", "label", "split") if c in wide.columns]
+        return scored.select(*kept, finite_or(vector_to_array("probability")[1], 0.5).alias("gnn_score"))
+
+    def serve(self, accounts: DataFrame) -> DataFrame:
+        """Scores of accounts with the serving vector: neighbours are the customer's own accounts only. Accounts
+        that are not among these get the neutral score where scores are joined."""
+        nodes = scaled(cut_lineage(members(accounts, coordinated=False)), self.scaler)
+        return self.probabilities(hops(nodes))
+
+    def save(self, path: str) -> None:
+        self.perceptron.write().overwrite().save(f"{path}/perceptron")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.scaler.to_json(),)], "scaler string").write.mode("overwrite").parquet(f"{path}/scaler")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "GraphModel":
+        scaler = Scaler.from_json(spark.read.parquet(f"{path}/scaler").first()[0])
+        return GraphModel(scaler, MultilayerPerceptronClassificationModel.load(f"{path}/perceptron"))
+
+
+def fit_graph(accounts: DataFrame, seed: int = 42, iterations: int = 100) -> tuple[GraphModel, DataFrame]:
+    """The model, and the accounts with label, split and x it was trained on.
 
     Suspicious training accounts are repeated by their capped weight, as the learner has no weights.
     """
-    wide = cut_lineage(hops(scaled_nodes(accounts)))
+    nodes = node_split(cut_lineage(members(accounts)))
+    scaler = Scaler.fit(nodes, ACCOUNT_COLUMNS)
+    wide = cut_lineage(hops(scaled(nodes, scaler, "label", "split"), "label", "split"))
     train = wide.where("split = 'train'")
     times = max(int(round(class_weights(train, "label")["graph_suspicious"])), 1)
     copies = F.when(F.col("label") == 1, F.lit(times)).otherwise(F.lit(1))
@@ -106,8 +140,12 @@ def graph_scores(accounts: DataFrame, seed: int = 42, iterations: int = 100) ->
         array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label")
     )
     layers = [3 * len(ACCOUNT_COLUMNS), *HIDDEN, 2]
-    model = MultilayerPerceptronClassifier(layers=layers, seed=seed, maxIter=iterations).fit(repeated)
-    scored = model.transform(wide.withColumn("features", array_to_vector("x")))
-    return scored.select(
-        "account_id", "label", "split", finite_or(vector_to_array("probability")[1], 0.5).alias("gnn_score")
-    ).withColumn("prediction", (F.col("gnn_score") >= SUSPICIOUS_FROM).cast("int"))
+    learner = MultilayerPerceptronClassifier(layers=layers, seed=seed, maxIter=iterations)
+    return GraphModel(scaler, learner.fit(repeated)), wide
+
+
+def graph_scores(accounts: DataFrame, seed: int = 42, iterations: int = 100) -> DataFrame:
+    """Suspicion probability per account, by a model trained on the earlier accounts."""
+    model, wide = fit_graph(accounts, seed, iterations)
+    scored = model.probabilities(wide)
+    return scored.withColumn("prediction", (F.col("gnn_score") >= SUSPICIOUS_FROM).cast("int"))

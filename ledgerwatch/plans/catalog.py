@@ -263,22 +263,26 @@ def account_features_serving(spark, sf):
     return rounded(A.account_features_serving(feature_table(spark, sf)))
 
 
-def graph_nodes(spark, sf, coordinated=True):
-    """Account rows, stored once: group totals read them several times."""
-    return G.members(cut_lineage(account_table(spark, sf)), coordinated)
+EDGE_COLUMNS = ["account_id", "customer_id", "tier_numeric", "max_cross_ratio_6h"]
+
+
+def graph_nodes(spark, sf, coordinated=True, columns=None):
+    """Account rows, stored once with the columns needed: group totals read them several times."""
+    accounts = account_table(spark, sf)
+    return G.members(cut_lineage(accounts.select(*columns) if columns else accounts), coordinated)
 
 
 def edges_shared_customer(spark, sf):
-    nodes = graph_nodes(spark, sf, coordinated=False)
+    nodes = graph_nodes(spark, sf, coordinated=False, columns=EDGE_COLUMNS)
     return G.degrees(nodes).select("account_id", "customer_neighbours")
 
 
 def edges_coordinated(spark, sf):
-    return G.degrees(graph_nodes(spark, sf)).select("account_id", "tier_neighbours")
+    return G.degrees(graph_nodes(spark, sf, columns=EDGE_COLUMNS)).select("account_id", "tier_neighbours")
 
 
 def edges_full(spark, sf):
-    return G.degrees(graph_nodes(spark, sf)).select("account_id", "neighbours", "edges_out")
+    return G.degrees(graph_nodes(spark, sf, columns=EDGE_COLUMNS)).select("account_id", "neighbours", "edges_out")
 
 
 def graph_stats(spark, sf):

@@ -4,12 +4,14 @@ import math
 from types import SimpleNamespace
 
 import pytest
-from builders import frame, txn
+from builders import frame, random_rows, txn
 from pyspark.sql import functions as F
 
 from ledgerwatch import session
+from ledgerwatch.operators import accounts as A
 from ledgerwatch.operators import evidence as E
 from ledgerwatch.operators import features as FT
+from ledgerwatch.operators import graph_model as GM
 from ledgerwatch.operators import metrics as M
 from ledgerwatch.operators import models as MD
 from ledgerwatch.plans import scoring as SC
@@ -108,3 +110,13 @@ def test_a_shared_folder_is_asked_for_on_clusters():
     Context.master = "local-cluster[2,1,1024]"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_reloaded_graph_model_serves_the_same_scores(spark, folder):
+    wide = FT.features(frame(spark, random_rows(200, [f"C{i}" for i in range(20)], seed=31)))
+    model, _ = GM.fit_graph(A.account_features(wide), iterations=5)
+    serving = A.account_features_serving(wide)
+    model.save(folder)
+    first = {r["account_id"]: r["gnn_score"] for r in model.serve(serving).collect()}
+    again = {r["account_id"]: r["gnn_score"] for r in GM.GraphModel.load(spark, folder).serve(serving).collect()}
+    assert first == again and len(first) == serving.count() and all(0 <= v <= 1 for v in first.values())
