@@ -30,7 +30,7 @@ from .text import buffer_of, ragged, slices, sums_by, whole
 
 MARK = "▁"
 UNUSED = -1e8  # scores below are those of pieces kept out of the lattice's floor
-REMEMBERED = 1_000_000  # parts that a worker keeps between batches
+REMEMBERED = 300_000  # parts that a task keeps between batches
 
 
 class Model:
@@ -72,7 +72,6 @@ class Model:
         self.tree_keys = np.array(sorted(tree), np.int64)
         self.tree_nodes = np.array([tree[k] for k in sorted(tree)], np.int64)
         self.tree_pieces = np.array(pieces, np.int64)
-        self.further: dict[tuple[str, int], tuple[list[float], list[int]]] = {}
         self.forget()
 
     def segmentations(self, part: str, n: int) -> list[tuple[float, list[int]]]:
@@ -230,6 +229,7 @@ class Model:
         self.flat = np.zeros(0, np.int32)
         self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.totals, self.losses = np.zeros(0), np.zeros(0)
+        self.further: dict[tuple[str, int], tuple[list[float], list[int]]] = {}
 
 
 @lru_cache(maxsize=4)
@@ -340,6 +340,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: str = "list", keep: tupl
                 arrays = [pa.array(np.diff(bounds), pa.int64()), listed, pa.array(np.diff(offsets), pa.int64()),
                           pa.array(found["scores"], pa.list_(pa.float64())), pa.array(found["counts"], pa.list_(pa.int32())), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in fields] + arrays, names=fields + names)
+        model(path).forget()  # Spark keeps the process for other tasks
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in fields] + [f"`{c}` {k}" for c, k in zip(names, new_kinds)])
     return docs.select(*[f"`{c}`" for c in fields if c != "text"], "text").mapInArrow(run, schema)

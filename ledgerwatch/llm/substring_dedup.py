@@ -255,7 +255,7 @@ def kept_texts(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, key: str = "doc_id", keep: str = "text",
-                   block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+                   block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """Removes the words that a window of ``length`` words covers which also starts in a document with a smaller id.
 
     ``keep``: "text" returns the columns of ``docs`` with the kept words, joined by one space, as text (texts that

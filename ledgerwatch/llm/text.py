@@ -40,18 +40,29 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * u64(0xD6E8FEB86659FD93) + b + u64(BASE))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LOW = 1 << 15
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            table = np.full(size, u64(base))
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _powers_of(base: int, n: int) -> np.ndarray:
+    table = np.full(n, u64(base))
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
+
+
+INVERSE = pow(BASE, -1, 1 << 64)
+_low, _inverse_low = _powers_of(BASE, LOW), _powers_of(INVERSE, LOW)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd base, modulo 2^64."""
+    high = _powers_of(pow(BASE, LOW, 1 << 64), -(-n // LOW) or 1)
+    return (high[:, None] * _low).ravel()[:n]
+
+
+def inverse_powers(at: np.ndarray) -> np.ndarray:
+    """Powers of the base's inverse with the exponents ``at``."""
+    high = _powers_of(pow(INVERSE, LOW, 1 << 64), int(at.max(initial=0)) // LOW + 1)
+    return high[at // LOW] * _inverse_low[at % LOW]
 
 
 @dataclass
@@ -74,12 +85,12 @@ class Words:
     def byte_sums(self) -> np.ndarray:
         """Running polynomial sums of the bytes, for span hashes."""
         sums = np.zeros(len(self.flat) + 1, np.uint64)
-        np.cumsum(self.flat.astype(np.uint64) * powers(max(1, len(self.flat)))[0], out=sums[1:])
+        np.multiply(self.flat, powers(len(self.flat)), out=sums[1:])
+        np.cumsum(sums, out=sums)
         return sums
 
     def span_hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = powers(max(1, len(self.flat)))[1]
-        return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * u64(0xA0761D6478BD642F))
+        return mixed((sums[end] - sums[start]) * inverse_powers(start) + (end - start).astype(np.uint64) * u64(0xA0761D6478BD642F))
 
 
 def words_of(flat: np.ndarray, offsets: np.ndarray) -> Words:

@@ -24,7 +24,7 @@ from .tables import free_name
 from .text import SPACE, buffer_of, slices, strings, sums_by, whole
 
 NEVER = np.iinfo(np.int64).max
-REMEMBERED = 1_000_000  # parts that a worker keeps between batches
+REMEMBERED = 500_000  # parts that a task keeps between batches
 
 
 def byte_symbols() -> list[str]:
@@ -59,8 +59,11 @@ class Vocabulary:
         chars = byte_symbols()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
-        self.lengths: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.lengths: dict[str, int] = {}  # symbols left of pre-tokens
+        self.known: dict[str, int] = {}  # tokens of parts
 
     def merged_lengths(self, words: list[str]) -> np.ndarray:
         """Symbols left of each pre-token."""
@@ -104,8 +107,7 @@ class Vocabulary:
         new = [p for p in parts if p not in self.known]
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.lengths.clear()
+                self.forget()
                 new = parts
             split: list[tuple[str, int, list[str]]] = []
             for p in new:
@@ -152,6 +154,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, keep: tuple[str,
                 size, tokens = token_counts(part.column("text"), path)
                 arrays = [part.column(c) for c in keep] + [pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+        vocabulary(path).forget()  # Spark keeps the process for other tasks
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{c}` {k}" for c, k in zip(names, ("bigint", "bigint", "boolean"))])
     return docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, schema)
