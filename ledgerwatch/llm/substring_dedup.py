@@ -4,7 +4,7 @@ Consecutive windows of a document share the smallest hash among their word pairs
 of windows travels as one packed string to the bucket of its minimiser; equal windows always meet there,
 whatever surrounds them. Within a bucket, windows are sorted by hash and equal neighbours compared byte by byte.
 
-Skew. Documents are dealt into blocks by hash of their id. Within a block a run that occurs many times is sent
+Skew. Documents are dealt into blocks by hash of id and text. Within a block a run that occurs many times is sent
 once, with the smallest and largest document that holds it, and the bucket answers blocks, not documents. A pair
 of words that is frequent in the whole table yields its place as minimiser to rarer ones; windows made of frequent pairs
 alone go to the bucket of their own hash.
@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, key: str = "doc_id", keep:
     blocks = max(shuffle_width(spark), size // block_bytes + 1)
     buckets = max(4 * shuffle_width(spark), 3 * size // bucket_bytes)
     fields = docs.columns
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64(column(key)), F.lit(blocks)).cast("int"))
+    # The text takes part, so that rows without id spread as well.
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64(column(key), F.col("text")), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(shuffle_width(spark), F.col(block))
 
     def pack(data: pa.Table) -> pa.Table:
