@@ -59,7 +59,8 @@ def starting_pairs(nodes: DataFrame, width: int, count: int, trial: int, k: int)
             yield pa.record_batch({"node": batch.column("node"), "vector": batch.column("vector"),
                                    "code": pa.array(signs @ (1 << np.arange(bits)), pa.int64())})
 
-    codes = cut_lineage(nodes.select("node", "vector").mapInArrow(coded, "node bigint, vector array<float>, code bigint"))
+    kind = nodes.schema["vector"].dataType.simpleString()
+    codes = cut_lineage(nodes.select("node", "vector").mapInArrow(coded, f"node bigint, vector {kind}, code bigint"))
     parts = codes.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = codes.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("node", F.lit(trial)), F.col("parts")))
 
@@ -173,7 +174,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key:
     """vec_id, n_links, component_id and kept of every row of ``rows``.
 
     ``trials`` starting partitions and ``rounds`` rounds; up to ``most`` times, while the audited recall of links is below ``recall``."""
-    named = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    named = rows.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     usable = finite(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull()
     vectors = cut_lineage(named.where(usable))
     nodes = cut_lineage(vectors.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
