@@ -3,7 +3,8 @@
 A neighbour graph starts from the nearest vectors within blocks that agree in the signs of random projections. In every
 round each vector brings its neighbours, and a bounded number of those that name it, together in a local join: whoever is nearer to one of them
 than its last neighbour becomes a candidate. A list whose entries are all links is saturated: it is enlarged, and takes
-links in hash order rather than the nearest, so that dense groups hang together instead of falling into cliques. Then the recall
+links in hash order rather than the nearest, so that dense groups hang together instead of falling into cliques. The lists
+bound the search only: every link that a block or a local join meets goes to a table of its own, whose components are the result. Then the recall
 of links is audited: a bounded sample of vectors is compared with all rows; while too many of their links join different components,
 further blocks and rounds follow. Links below the threshold are dropped.
 
@@ -48,8 +49,25 @@ def pairs_table(a: list[np.ndarray], b: list[np.ndarray], sim: list[np.ndarray])
     return pa.table({"a": pa.array(join(a, np.int64)), "b": pa.array(join(b, np.int64)), "sim": pa.array(join(sim, np.float64))})
 
 
-def starting_pairs(nodes: DataFrame, width: int, count: int, trial: int, k: int) -> DataFrame:
-    """The ``k`` nearest of each vector within its block of one random partition."""
+def tree(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a symmetric matrix of links that hold its components together: a spanning forest."""
+    left, a, b = np.ones(len(hit), bool), [], []
+    for root in range(len(hit)):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(hit[i] & left)
+            left[new] = False
+            a.append(np.full(len(new), i))
+            b.append(new)
+            queue += new.tolist()
+    return np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def starting_pairs(nodes: DataFrame, width: int, count: int, trial: int, k: int, least: float) -> DataFrame:
+    """The ``k`` nearest of each vector within its block of one random partition, and what else ties the block's links together."""
     bits = max(1, math.ceil(math.log2(max(2, count / (BLOCK / 2)))))
     planes = np.random.default_rng(trial).normal(size=(width, bits))
 
@@ -73,7 +91,8 @@ def starting_pairs(nodes: DataFrame, width: int, count: int, trial: int, k: int)
             return pairs_table([], [], [])
         top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         rows = np.repeat(np.arange(len(ids)), m)
-        return pairs_table([ids[rows]], [ids[top.ravel()]], [sim[rows, top.ravel()]])
+        p, q = tree(sim >= least)
+        return pairs_table([ids[rows], ids[p]], [ids[top.ravel()], ids[q]], [sim[rows, top.ravel()], sim[p, q]])
 
     return dealt.select("code", "part", "node", "vector").groupBy("code", "part").applyInArrow(nearest, PAIR)
 
@@ -90,8 +109,14 @@ def lists_of(pairs: DataFrame, sizes: DataFrame | None, least: float) -> DataFra
     return cut_lineage(ranked.select("a", "b", "sim", "place"))
 
 
+def tied(edges: DataFrame | None, pairs: DataFrame, least: float) -> DataFrame:
+    """``edges`` (a, b) and all links of ``pairs``, each once."""
+    more = pairs.where(F.col("sim") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut_lineage((more if edges is None else edges.unionByName(more)).distinct())
+
+
 def refined(lists: DataFrame, nodes: DataFrame, width: int, count: int, least: float, trial: int) -> DataFrame:
-    """One round of local joins: pairs of neighbours that are nearer than the last entry of either list."""
+    """One round of local joins: pairs of neighbours that are links or nearer than the last entry of either list."""
     back = lists.select(F.col("b").alias("u"), F.col("a").alias("v"))
     turn = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(trial)))
     back = back.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= NEIGHBOURS).select("u", "v")
@@ -111,7 +136,7 @@ def refined(lists: DataFrame, nodes: DataFrame, width: int, count: int, least: f
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             sim = x[i:j] @ x[i:j].T
             np.fill_diagonal(sim, -3)
-            better = sim > last[i:j, None]
+            better = (sim > last[i:j, None]) | (sim >= least)
             p, q = np.nonzero(better)
             a.append(v[i + p])
             b.append(v[i + q])
@@ -179,18 +204,22 @@ def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key:
     vectors = cut_lineage(named.where(usable))
     nodes = cut_lineage(vectors.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     count, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    pairs, found = None, None
+    pairs, edges, found = None, None, None
     for turn in range(most if count else 0):
         for trial in range(trials):
-            more = starting_pairs(nodes, width, count, turn * trials + trial, NEIGHBOURS)
+            more = starting_pairs(nodes, width, count, turn * trials + trial, NEIGHBOURS, least)
             pairs = more if pairs is None else pairs.unionByName(more)
+        pairs = cut_lineage(pairs)
+        edges = tied(edges, pairs, least)
         lists = lists_of(pairs, None, least)
         for r in range(rounds):
             full = lists.where(F.col("sim") >= least).groupBy("a").agg((F.count("*") >= NEIGHBOURS).alias("large")).where("large")
-            lists = lists_of(lists.select("a", "b", "sim").unionByName(refined(lists, nodes, width, count, least, turn * rounds + r)), full, least)
+            fresh = cut_lineage(refined(lists, nodes, width, count, least, turn * rounds + r))
+            edges = tied(edges, fresh, least)
+            lists = lists_of(lists.select("a", "b", "sim").unionByName(fresh), full, least)
         true = cut_lineage(audited(nodes, width, least))
-        edges = lists.where(F.col("sim") >= least).select("a", "b")
         found = cut_lineage(connected(edges))
+        edges = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         own = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(
             found.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
         total, together = own.agg(F.count("*"), F.coalesce(F.sum((F.col("of_a") == F.col("of_b")).cast("int")), F.lit(0))).first()

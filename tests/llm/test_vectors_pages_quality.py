@@ -46,6 +46,20 @@ def test_near_vectors_by_definition(spark):
     assert got == near_by_definition(rows)
 
 
+def test_bridges_between_dense_groups(spark):
+    """Two groups of 249 near copies, joined by one link: its ends have far more links than any list holds."""
+    rng = np.random.default_rng(3)
+    one, two = np.eye(32)[:2]
+    turned = lambda angle: np.cos(angle) * one + np.sin(angle) * two
+    noise = lambda: np.concatenate([np.zeros(2), rng.normal(size=30)]) * 0.01
+    x = [turned(-0.4) + noise() for _ in range(249)] + [turned(0.4) + noise() for _ in range(249)] + [turned(-0.2), turned(0.2)]
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(x)]
+    want = near_by_definition(rows)
+    assert {c for _, c, _ in want.values()} == {0}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(vectors(spark, rows), most=1).collect()}
+    assert got == want
+
+
 def test_near_vectors_of_small_tables(spark):
     empty = vectors(spark, [(1, None)])
     assert embedding_dedup.near_vectors(empty.where("false")).collect() == []
