@@ -5,8 +5,10 @@ round each vector brings its neighbours, and a bounded number of those that name
 than its last neighbour becomes a candidate. A list whose entries are all links is saturated: it is enlarged, and takes
 links in hash order rather than the nearest, so that dense groups hang together instead of falling into cliques. The lists
 bound the search only: every link that a block or a local join meets goes to a table of its own, whose components are the result. Then the recall
-of links is audited: a bounded sample of vectors is compared with all rows; while too many of their links join different components,
-further blocks and rounds follow. Links below the threshold are dropped.
+of links is audited: vectors that no audit has taken are compared with all rows, until enough of them have links. While too large
+a share of a vector's links joins different components, in the mean over these vectors, further blocks and rounds follow; after
+the last turn the audit goes on through the whole table instead, so no result is below the target. What an audit finds is kept.
+Rare links make audits long, up to a comparison of all pairs: a recall cannot be told from fewer. Links below the threshold are dropped.
 
 Links of a vector lie within its component. Their number is counted there exactly, in tiles of the component's
 vectors, without listing pairs; equal vectors are one entry with its number of copies throughout.
@@ -36,7 +38,10 @@ LARGER = 30  # neighbours of saturated vectors
 BLOCK = 512  # vectors of a starting block
 TILE = 256
 GROUP = 128  # vectors whose local joins one group holds
-AUDITED = 256
+AUDITED = 256  # vectors of the first audit; each further one takes twice as many, up to MOST_AUDITED
+MOST_AUDITED = 4096
+LINKED = 256  # audited vectors with links that a recall is taken from
+CELLS = 1 << 22  # similarities that a task holds at a time
 PAIR = "a bigint, b bigint, sim double"
 
 
@@ -66,9 +71,19 @@ def tree(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def sign_bits(count: int) -> int:
+    return max(1, math.ceil(math.log2(max(2, count / (BLOCK / 2)))))
+
+
+def partitions(count: int, least: float, recall: float) -> int:
+    """Random partitions after which two vectors of similarity ``least`` have agreed in all signs once, with chance ``recall``."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** sign_bits(count)
+    return 1 if agree >= 1 else math.ceil(math.log(1 - min(recall, 0.999)) / math.log(1 - agree)) if agree > 0 else 1
+
+
 def starting_pairs(nodes: DataFrame, width: int, count: int, trial: int, k: int, least: float) -> DataFrame:
     """The ``k`` nearest of each vector within its block of one random partition, and what else ties the block's links together."""
-    bits = max(1, math.ceil(math.log2(max(2, count / (BLOCK / 2)))))
+    bits = sign_bits(count)
     planes = np.random.default_rng(trial).normal(size=(width, bits))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +161,34 @@ def refined(lists: DataFrame, nodes: DataFrame, width: int, count: int, least: f
     return rows.select("group", "u", "v", "vector", "last").groupBy("group").applyInArrow(joined, PAIR)
 
 
-def audited(nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """All links (a, b, sim) of a bounded sample of vectors, by comparison with every row."""
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vector").toArrow()
+def audited(nodes: DataFrame, width: int, least: float, after: tuple[int, int] | None, most: int) -> tuple[DataFrame, tuple[int, int] | None]:
+    """All links (a, b, sim) of the ``most`` vectors that follow ``after`` in hash order, by comparison with every row, and where
+    the next ones start: None if no vector is left."""
+    h = F.xxhash64("node")
+    left = nodes if after is None else nodes.where((h > after[0]) | ((h == after[0]) & (F.col("node") > after[1])))
+    chosen = left.select("node", "vector", h.alias("h")).orderBy("h", "node").limit(most).toArrow()
     ids, x = chosen.column("node").to_numpy(), units(matrix(chosen.column("vector"), width))
+    at = max(zip(chosen.column("h").to_pylist(), ids.tolist())) if len(ids) == most else None
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
-            other = batch.column("node").to_numpy()
-            sim = x @ units(matrix(batch.column("vector"), width)).T
-            p, q = np.nonzero((sim >= least) & (ids[:, None] != other[None, :]))
-            yield from pairs_table([ids[p]], [other[q]], [sim[p, q]]).to_batches()
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                other = part.column("node").to_numpy()
+                sim = x @ units(matrix(part.column("vector"), width)).T
+                p, q = np.nonzero((sim >= least) & (ids[:, None] != other[None, :]))
+                yield from pairs_table([ids[p]], [other[q]], [sim[p, q]]).to_batches()
 
-    return nodes.select("node", "vector").mapInArrow(compared, PAIR)
+    return cut_lineage(nodes.select("node", "vector").mapInArrow(compared, PAIR)), at
+
+
+def held_together(true: DataFrame, found: DataFrame) -> tuple[int, float]:
+    """Audited vectors with links, and the sum of their shares of links within one component."""
+    own = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(
+        found.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    shares = own.groupBy("a").agg(F.avg(F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).cast("int")).alias("share"))
+    return shares.agg(F.count("*"), F.coalesce(F.sum("share"), F.lit(0.0))).first()
 
 
 def link_counts(members: DataFrame, width: int, least: float) -> DataFrame:
@@ -198,13 +228,15 @@ def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key:
                  trials: int = 4, rounds: int = 2, most: int = 4) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows``.
 
-    ``trials`` starting partitions and ``rounds`` rounds; up to ``most`` times, while the audited recall of links is below ``recall``."""
+    ``trials`` starting partitions, or as many more as the number of rows asks for, and ``rounds`` rounds; up to ``most`` times,
+    while the audited recall of links is below ``recall``. If it still is, all vectors that no audit has compared are compared."""
     named = rows.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     usable = finite(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull()
     vectors = cut_lineage(named.where(usable))
     nodes = cut_lineage(vectors.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     count, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    pairs, edges, found = None, None, None
+    trials = max(trials, partitions(count, least, recall))
+    pairs, edges, found, after, size = None, None, None, None, AUDITED
     for turn in range(most if count else 0):
         for trial in range(trials):
             more = starting_pairs(nodes, width, count, turn * trials + trial, NEIGHBOURS, least)
@@ -217,15 +249,23 @@ def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key:
             fresh = cut_lineage(refined(lists, nodes, width, count, least, turn * rounds + r))
             edges = tied(edges, fresh, least)
             lists = lists_of(lists.select("a", "b", "sim").unionByName(fresh), full, least)
-        true = cut_lineage(audited(nodes, width, least))
         found = cut_lineage(connected(edges))
         edges = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        own = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(
-            found.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
-        total, together = own.agg(F.count("*"), F.coalesce(F.sum((F.col("of_a") == F.col("of_b")).cast("int")), F.lit(0))).first()
-        if together >= recall * total:
+        # Audits go on in hash order, so that none takes vectors whose links an earlier one has added.
+        pairs, linked, share = lists.select("a", "b", "sim"), 0, 0.0
+        while True:
+            true, after = audited(nodes, width, least, after, size)
+            size = min(2 * size, MOST_AUDITED)
+            more, held = held_together(true, found)
+            linked, share = linked + more, share + held
+            edges, pairs = tied(edges, true, least), pairs.unionByName(true)
+            enough = linked >= LINKED and share >= recall * linked
+            if after is None or enough or (linked >= LINKED and turn + 1 < most):
+                break
+        if after is None or enough:
             break
-        pairs = lists.select("a", "b", "sim").unionByName(true)
+    if edges is not None:
+        found = cut_lineage(connected(edges))
     if found is None:
         found = rows.sparkSession.createDataFrame([], "node bigint, component bigint")
     # Ids are taken from the smallest row of equal vectors, so the smallest node of a component is its smallest row.

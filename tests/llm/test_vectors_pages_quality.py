@@ -60,6 +60,24 @@ def test_bridges_between_dense_groups(spark):
     assert got == want
 
 
+def test_rare_links_beside_a_dense_group(spark, monkeypatch):
+    """Isolated pairs that the search cannot meet are found by the audit, whatever a dense group adds to its links."""
+    monkeypatch.setattr(embedding_dedup, "starting_pairs", lambda nodes, *_: nodes.select(
+        F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0.95).alias("sim")).where("a between 1 and 39"))
+    monkeypatch.setattr(embedding_dedup, "AUDITED", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(301, 48))
+    x[1:40] = x[0] + rng.normal(size=(39, 48)) * 0.02
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(x)] + [(1000 + i, np.float32(x[i] * 1.5 + 0.01).tolist()) for i in range(290, 301)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(vectors(spark, rows), rounds=0, most=1).collect()}
+    assert got == near_by_definition(rows)
+
+
+def test_partitions_follow_the_number_of_rows():
+    few, many = (embedding_dedup.partitions(n, 0.9, 0.98) for n in (5_000, 10_000_000))
+    assert few == 7 and many > 40
+
+
 def test_near_vectors_of_small_tables(spark):
     empty = vectors(spark, [(1, None)])
     assert embedding_dedup.near_vectors(empty.where("false")).collect() == []
