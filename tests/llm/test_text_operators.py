@@ -137,6 +137,26 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(table.where("false")).collect() == []
 
 
+def test_near_copies_of_any_similarity_from_four_fifths(spark):
+    rng = np.random.default_rng(6)
+    texts = ODD[:]
+    for k in range(12):
+        base = prose(700 + k, 250).split()
+        texts.append(" ".join(base))
+        for edits in (1, 3, 5, 9):
+            copy = base[:]
+            for i in rng.integers(0, len(base), edits):
+                copy[i] = f"edit{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in enumerate(words((t or "").lower()) for t in texts)}
+    alike = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in sets for j in sets if i < j}
+    near = [p for p, s in alike.items() if s >= 0.8 or not sets[p[0]] | sets[p[1]]]
+    assert sum(0.8 <= s < 0.95 for s in alike.values()) > 15
+    want = roots(sets, near)
+    kept = {r.doc_id for r in simhash.one_of_each(docs(spark, texts)).collect()}
+    assert kept == {i for i in want if want[i] == i}
+
+
 def shares(sizes, weights=(3, 1, 2), total=1.5, most=2):
     """Water filling in rounds, as the text describes it."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
