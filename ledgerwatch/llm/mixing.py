@@ -54,9 +54,10 @@ def copies(key: Column, rate: Column, seed: str = "") -> Column:
 
 def with_rates(rows: DataFrame, per_source: DataFrame, source: str) -> DataFrame:
     """Adds source_size and target. Sources are few as a rule: counted, then sent to all or joined by shuffle."""
-    per_source = cut_lineage(per_source).withColumnRenamed("source", "_of")
+    of = free_name(rows, "_of")
+    per_source = cut_lineage(per_source).withColumnRenamed("source", of)
     side = F.broadcast(per_source) if per_source.count() <= SMALL else per_source
-    return rows.join(side, column(source).eqNullSafe(F.col("_of"))).drop("_of")
+    return rows.join(side, column(source).eqNullSafe(F.col(of))).drop(of)
 
 
 def mix_sizes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

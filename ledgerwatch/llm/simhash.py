@@ -6,15 +6,12 @@ radius one around its own, and the complete distance of what it gets is verified
 entry. A segment value with many fingerprints isn't fetched; the questions to it enumerate the ball of the
 remaining distance in the other segment and look complete fingerprints up, so the work of a question is bounded.
 
-The pipeline's stage links by exact similarity of shingle sets instead (``similar``, ``groups_of``).
-
 Defined results: null and empty texts have fingerprint zero, which links like any other. A null id never becomes a
 component's id unless no other is there. Rows with one id count as one document. Order and repetition of rows don't matter.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +27,6 @@ from .text import slices, words_in
 
 FETCHED = 64
 SEGMENT = 32
-SAMPLED = 2_000  # sets that common shingles are counted in
-COMMON = 100_000
 
 
 def shingle_hashes(texts: pa.Array, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,64 +120,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, key: str
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def with_sets(docs: DataFrame, size: int, key: str) -> DataFrame:
-    """(id, fp, n, shingles): the set of shingle hashes of every row, and a hash of that set."""
-    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, _, first = shingle_hashes(part.column("text"), size)
-                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.record_batch({
-                    "id": part.column(key), "fp": pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()),
-                    "n": pa.array([len(x) for x in sets], pa.int32()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(computed, f"id {kind}, fp bigint, n int, shingles array<bigint>")
-
-
-def similar(sets: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of ``sets`` (fp unique, n, shingles) of Jaccard similarity ``least`` or more, by prefix filtering.
-
-    Under one order of all shingles, two such sets share one of their first n - ceil(least * n) + 1. Shingles that a sample of sets
-    repeats come last, so few sets meet in them; the order is the same for all sets, so the sample decides on the work only."""
-    sample = sets.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED).select(F.explode("shingles").alias("s")).groupBy("s").count()
-    common = sample.where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).orderBy("s").toArrow()
-    values, counts = common.column("s").to_numpy(), common.column("count").to_numpy()
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fp, n, shingles in zip(batch.column("fp").to_pylist(), batch.column("n").to_pylist(), batch.column("shingles")):
-                x = shingles.values.to_numpy()
-                at = np.minimum(np.searchsorted(values, x), max(0, len(values) - 1))
-                often = np.where(values[at] == x, counts[at], 0) if len(values) else np.zeros(n, np.int64)
-                first = x[np.lexsort((x, often))][: n - math.ceil(least * n - 1e-9) + 1]
-                yield pa.record_batch({"s": pa.array(first), "a": pa.array(np.full(len(first), fp)), "n": pa.array(np.full(len(first), n, np.int32))})
-
-    left = cut_lineage(sets.where("n > 0").select("fp", "n", "shingles").mapInArrow(prefixes, "s bigint, a bigint, n int"))
-    right = left.select("s", F.col("a").alias("b"), F.col("n").alias("m"))
-    met = left.join(right, "s").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
-    pairs = met.where(F.col("n") >= least * F.col("m") - 1e-9).select("a", "b").distinct()
-    end = lambda name: sets.select(F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(F.col("shared") >= least * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9).select("a", "b")
-
-
-def groups_of(docs: DataFrame, size: int, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """(key, fp, component) of every row; component is the smallest id in its group: texts tied by pairs whose sets of
-    ``size``-word shingles have Jaccard similarity ``least`` or more. Texts without words are one group."""
-    named = cut_lineage(with_sets(docs, size, key))
-    sets = cut_lineage(named.groupBy("fp").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    roots = cut_lineage(connected(similar(sets, least)))
-    lows = roots.join(sets.select(F.col("fp").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
-    linked = roots.join(lows, "component").select(F.col("node").alias("fp"), F.col("least"))
-    of_set = sets.select("fp", "low").join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component"))
-    return named.select("id", "fp").join(of_set, "fp").select(F.col("id").alias(key), "fp", "component")
-
-
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without those whose group of near duplicates has a document with a smaller id.
 
     Rows without id stay, as nothing names them; rows with one id stay or go together."""
     gone = free_name(docs, "gone")
-    dropped = groups_of(docs, size, least, key).where(f"`{key}` > component").select(column(key).alias(gone)).distinct()
+    dropped = fingerprint_groups(docs, size, distance, key).where(f"`{key}` > component").select(column(key).alias(gone)).distinct()
     return docs.join(dropped, column(key) == F.col(gone), "left_anti")

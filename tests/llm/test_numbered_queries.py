@@ -39,7 +39,7 @@ def test_stages_do_their_work(spark):
     good = {r.doc_id for r in quality_crf.quality(docs, labels).where("predicted = 1").collect()}
     first = corpus_pipeline.quality(spark, docs, SF)
     assert {r.doc_id for r in first.collect()} == good
-    groups = {r.doc_id: r.component for r in simhash.groups_of(first, 5).collect()}
+    groups = {r.doc_id: r.component for r in simhash.fingerprint_groups(first, 3).collect()}
     second = corpus_pipeline.near_duplicates(spark, first, SF)
     assert {r.doc_id for r in second.collect()} == {d for d, c in groups.items() if d == c}
     cleaned = {r.doc_id: r for r in substring_dedup.remove_repeats(second).collect()}
