@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, maxscore, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
+from . import byte_bpe, embedding_dedup, html_extract, maxscore, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,14 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    found = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -74,6 +83,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": archived,
         "op9_quality": document_quality,
         "op10_html_extract": page_text,
+        "op12_byte_bpe": byte_pieces,
         "pipeline": pipeline,
     }
 
