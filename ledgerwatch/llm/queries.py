@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_extract, maxscore, mixing, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
+from . import byte_bpe, embedding_dedup, html_extract, maxscore, mixing, phrases, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,6 +88,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": document_quality,
         "op10_html_extract": page_text,
         "op12_byte_bpe": byte_pieces,
+        "op13_phrases": collocations,
         "pipeline": pipeline,
     }
 
@@ -155,6 +160,43 @@ WITH usable AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), lengths AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS m
+), placed AS (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS pos FROM worded JOIN lengths ON len(w) >= m
+), often AS (
+  SELECT lang, m, w[pos : pos + m - 1] AS words, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, m, words, f, unnest(range(1, m)) AS k FROM often WHERE m > 1
+), cut_scores AS (
+  SELECT c.lang, c.m, c.words, c.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN often l ON l.lang = c.lang AND l.words = c.words[: k]
+  JOIN often r ON r.lang = c.lang AND r.words = c.words[k + 1 :]
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cut_scores
+), inside AS (
+  SELECT lang, words[s : s + t - 1] AS words, max(f) AS more
+  FROM (SELECT lang, words, f, m, t, unnest(range(1, m - t + 2)) AS s FROM often, (SELECT unnest([2, 3, 4]) AS t) WHERE m > t)
+  GROUP BY ALL
+), kept AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score
+  FROM lowest LEFT JOIN inside USING (lang, words) WHERE place = 1 AND NOT coalesce(100 * more >= 100 * a, false)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op5_maxscore": MAXSCORE_SQL, "op6_mixing": MIXING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op5_maxscore": MAXSCORE_SQL, "op6_mixing": MIXING_SQL, "op13_phrases": PHRASES_SQL}
