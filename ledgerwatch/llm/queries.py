@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_extract, maxscore, mixing, phrases, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
+from . import alignment, byte_bpe, embedding_dedup, html_extract, maxscore, mixing, phrases, quality_crf, sentencepiece_nbest, simhash, substring_dedup, token_counts, warc
 from .tables import read
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -59,6 +60,10 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES), groups="digest")
+
+
 def byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     found = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -87,6 +92,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": archived,
         "op9_quality": document_quality,
         "op10_html_extract": page_text,
+        "op11_alignment": aligned,
         "op12_byte_bpe": byte_pieces,
         "op13_phrases": collocations,
         "pipeline": pipeline,
