@@ -158,9 +158,18 @@ def structuring_report(features: DataFrame, single_rows: int = 5) -> DataFrame:
     return cross.unionByName(single)
 
 
+def exact_mean(name: str, digits: int = 6) -> Column:
+    """Mean of a column's values to ``digits`` decimals, rounded to as many: sums of decimals don't depend on the order of addition.
+    Where a value isn't finite or is beyond the decimals, the plain mean."""
+    value = F.col(name).cast("double")
+    fits = F.abs(value) < 1e20
+    total = F.sum(F.when(fits, F.round(value, digits).try_cast(f"decimal(28,{digits})")))
+    return F.when(F.count_if(~fits) > 0, F.avg(value)).otherwise(F.round(total.cast("double") / F.count(value), digits))
+
+
 def feature_profile(features: DataFrame, columns: list[str]) -> DataFrame:
     """Range, spread, missing values and distinct values of per-account means, one row per column."""
-    means = features.groupBy("account_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+    means = features.groupBy("account_id").agg(*[exact_mean(c).alias(c) for c in columns])
     long = means.select(
         "account_id",
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])).alias("_f"),

@@ -381,7 +381,7 @@ def oracles() -> dict[str, str]:
             suspicious_typology AS s, arrival_seq FROM feat WHERE is_suspicious = 1)
             SELECT 'cross_account' AS kind, * EXCLUDE (s, arrival_seq) FROM c WHERE contains(s, 'cross_account')
             UNION ALL (SELECT 'single_account' AS kind, * EXCLUDE (s, arrival_seq) FROM c WHERE contains(s, 'structuring') AND NOT contains(s, 'cross') ORDER BY c.arrival_seq LIMIT 5)""",
-        "feature_profile": feat.rstrip() + ", means AS (SELECT account_id, " + ", ".join(f"avg({c} * 1.0) AS {c}" for c in PROFILED) + """
+        "feature_profile": feat.rstrip() + ", means AS (SELECT account_id, " + ", ".join(f"round(sum(round({c} * 1.0, 6)::DECIMAL(28, 6))::DOUBLE / count({c}), 6) AS {c}" for c in PROFILED) + """
             FROM feat GROUP BY account_id), long AS (UNPIVOT means ON """ + ", ".join(PROFILED) + """ INTO NAME feature VALUE v)
             SELECT feature, count(*) FILTER (isnan(v)) AS nan_values, count(*) FILTER (isinf(v)) AS inf_values, round(min(v), 4) AS min, round(max(v), 4) AS max,
             count(DISTINCT v) AS distinct_values, round(stddev_pop(v), 4) AS std, stddev_pop(v) = 0 AS zero_variance FROM long GROUP BY feature""",

@@ -16,6 +16,8 @@ from ledgerwatch.operators import models as MD
 from ledgerwatch.operators import snapshots as SN
 from ledgerwatch.operators.neighbours import nearest
 from ledgerwatch.operators.scaling import Scaler
+from ledgerwatch.plans import catalog as catalog_module
+from ledgerwatch.session import scratch_path
 
 
 def account_rows(n, seed):
@@ -150,3 +152,27 @@ def test_breakdown_keeps_empty_accounts(spark):
 
 def test_account_vector_has_33_values(spark):
     assert len(A.ACCOUNT_COLUMNS) == len(set(A.ACCOUNT_COLUMNS)) == 33
+
+
+def test_feature_profile_does_not_depend_on_partitions(spark):
+    import __spark_entry__ as entry_module
+    from compare import connect, differences
+
+    sf = "/root/testdata/sf0.01"
+    rows = catalog_module.feature_table(spark, sf).select("account_id", *catalog_module.PROFILED)
+    path = scratch_path(spark, "profiled")
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = [
+        sorted(map(tuple, catalog_module.rounded(A.feature_profile(stored.repartition(n), catalog_module.PROFILED), 4).collect()))
+        for n in (1, 16)
+    ]
+    assert found[0] == found[1]
+    profile = catalog_module.rounded(A.feature_profile(stored.repartition(7), catalog_module.PROFILED), 4)
+    assert differences(profile, connect(sf), entry_module.oracle_sql()["feature_profile"]) == []
+
+
+def test_feature_profile_of_odd_values(spark):
+    rows = [("a", 1.0), ("a", float("nan")), ("b", float("inf")), ("c", 2.0), ("c", None), ("d", 1e300)]
+    found = A.feature_profile(spark.createDataFrame(rows, "account_id string, x double"), ["x"]).first()
+    assert (found.nan_values, found.inf_values, found.distinct_values) == (1, 1, 4)
