@@ -63,26 +63,14 @@ def std_from_sums(n: Column, total: Column, squares: Column) -> Column:
     return F.sqrt(F.greatest(variance, F.lit(0.0))) / 100.0
 
 
-class NoState:
-    """Batch runs start from nothing and leave nothing behind."""
-
-    def initial(self, name: str, keys: list[str], values: list[Running]) -> DataFrame | None:
-        return None
-
-    def keep(self, name: str, rows: DataFrame, keys: list[str], order: list[str], values: list[Running]) -> None:
-        pass
-
-
-def baseline(txns: DataFrame, order: str, state=NoState()) -> DataFrame:
-    """Running state of the customer after each row: totals, usual channel and hour, accounts, age.
-    ``state`` brings the partials of earlier batches and takes those of this one."""
+def baseline(txns: DataFrame, order: str) -> DataFrame:
+    """Running state of the customer after each row: totals, usual channel and hour, accounts, age."""
     position = order_columns(order)
     earlier_wins = [(-F.col(c)) for c in position]
     one = F.lit(1).cast("bigint")
 
-    def add(df, name, keys, values, source=None):
-        state.keep(name, df if source is None else source, keys, position, values)
-        return running(df, keys, position, values, source=source, initial=state.initial(name, keys, values))
+    def add(df, keys, values, source=None):
+        return running(df, keys, position, values, source=source)
 
     df = txns.withColumn("_hour", F.hour("event_ts"))
     if SEGMENT in df.columns:
@@ -92,19 +80,18 @@ def baseline(txns: DataFrame, order: str, state=NoState()) -> DataFrame:
     rows = df
     for value, prefix in (("channel", "_channel"), ("_hour", "_hours")):
         first_seen = [Running(f"{prefix}_first{i}", "first", c) for i, c in enumerate(earlier_wins)]
-        df = add(df, prefix, ["customer_id", value], [Running(f"{prefix}_n", "sum", one), *first_seen], rows)
+        df = add(df, ["customer_id", value], [Running(f"{prefix}_n", "sum", one), *first_seen], rows)
         rank = F.struct(
             F.col(f"{prefix}_n"), *[F.col(f.name) for f in first_seen], F.col(value).alias("value")
         )
         df = df.withColumn(f"{prefix}_rank", rank).drop(f"{prefix}_n", *[f.name for f in first_seen])
-    df = add(df, "_account", ["customer_id", "account_id"], [Running("_account_n", "sum", one)], rows)
+    df = add(df, ["customer_id", "account_id"], [Running("_account_n", "sum", one)], rows)
 
     # The most frequent value so far is the highest (count, first seen) any row has reached so far.
     amount = F.col("amount_minor")
     wide = amount.cast("decimal(19,0)")
     df = add(
         df,
-        "_customer",
         ["customer_id"],
         [
             Running("txns_so_far", "sum", one),

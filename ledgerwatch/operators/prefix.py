@@ -64,16 +64,6 @@ class Running:
             return F.greatest(carry, own)
         return F.coalesce(carry, own) if self.fn == "first" else F.coalesce(own, carry)
 
-    def merged(self, place: str) -> Column:
-        """Partials of one key from several batches, ordered by ``place``, as one partial."""
-        partial = F.col(self.name)
-        if self.fn == "sum":
-            return F.sum(partial)
-        if self.fn in ("max", "max_before"):
-            return F.max(partial)
-        order = F.when(partial.isNotNull(), F.col(place))
-        return F.min_by(partial, order) if self.fn == "first" else F.max_by(partial, order)
-
 
 def partials(df: DataFrame, keys: list[str], order: list[str], values: list[Running], reverse: bool = False) -> DataFrame:
     """One partial row per key: what later rows of the key need to know about these rows."""
@@ -88,41 +78,24 @@ def running(
     values: list[Running],
     reverse: bool = False,
     source: DataFrame | None = None,
-    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add running ``values`` per ``keys`` along ``order``; segmented when ``df`` has segments.
 
     The partials read the rows once more. ``source`` names a cheaper table holding the same rows
     with the columns needed, so that a chain of running values does not recompute itself.
-    ``initial`` holds partials of rows before all of these, one row per key.
     """
     segmented = SEGMENT in df.columns
     parts = keys + [SEGMENT] if segmented else keys
     direction = [F.col(c).desc() if reverse else F.col(c) for c in order]
-    joined, carries = df, {v.name: [] for v in values}
-    if initial is not None:
-        before = initial.select(*keys, *[F.col(v.name).alias(f"_initial_{v.name}") for v in values])
-        joined = joined.join(before, keys, "left")
-        for v in values:
-            carries[v.name].append(F.col(f"_initial_{v.name}"))
-    if segmented:
-        step = F.col(SEGMENT).desc() if reverse else F.col(SEGMENT)
-        earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        own = partials(df if source is None else source, parts, order, values, reverse)
-        carried = own.select(*parts, *[v.carried(F.col(v.name), earlier).alias(f"_carry_{v.name}") for v in values])
-        joined = joined.join(carried, parts, "left")
-        for v in values:
-            carries[v.name].append(F.col(f"_carry_{v.name}"))
-
     window = Window.partitionBy(*parts).orderBy(*direction)
-    if not segmented and initial is None:
+    if not segmented:
         return df.select("*", *[v.over_rows(window).alias(v.name) for v in values])
-    results = []
-    for v in values:
-        value = F.col(f"_own_{v.name}")
-        for carry in reversed(carries[v.name]):
-            value = v.combine(carry, value)
-        results.append(value.alias(v.name))
+    step = F.col(SEGMENT).desc() if reverse else F.col(SEGMENT)
+    earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    own = partials(df if source is None else source, parts, order, values, reverse)
+    carried = own.select(*parts, *[v.carried(F.col(v.name), earlier).alias(f"_carry_{v.name}") for v in values])
+    joined = df.join(carried, parts, "left")
+    results = [v.combine(F.col(f"_carry_{v.name}"), F.col(f"_own_{v.name}")).alias(v.name) for v in values]
     return joined.select("*", *[v.over_rows(window).alias(f"_own_{v.name}") for v in values]).select(
         *[F.col(c) for c in df.columns], *results
     )

@@ -26,10 +26,12 @@ from ..sources import sinks
 from ..sources.events import derive, out_of_order, transactions
 from ..streaming import features as stream_jobs
 from ..streaming import flags as stream_rules
+from ..streaming import lines as line_jobs
 from . import rules as R
 from . import scoring as SC
 from .registry import registry
 
+STREAM_BATCHES = 24
 SCORES = ["iso_score", "rf_score", "gnn_score"]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,8 +135,8 @@ def transactions_upsert(spark, sf):
     resent = txns.where(e % 4 == 0).withColumns({"amount": F.col("amount") + 1, "arrival_seq": e + 1_000_000_000})
     path = scratch_path(spark, "transactions")
     sinks.write_transactions(txns, path)
-    sinks.write_transactions(resent, path)  # touches every day, replaces a part of its rows
-    return spark.read.parquet(path).select(
+    sinks.write_transactions(resent, path)  # replaces a quarter of the rows
+    return sinks.read_transactions(spark, path).select(
         "transaction_id", "account_id", "customer_id", "account_tier", "amount", "currency", "txn_type", "channel",
         "location", "balance_after", "txn_timestamp", "is_suspicious", "suspicious_typology",
     )
@@ -514,46 +516,80 @@ def score_end_to_end(spark, sf):
 # Streams ---------------------------------------------------------------------------------------
 
 
-def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return derive(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+def in_turn(spark, path):
+    """Gives the files of a table rising times in the order of their names, so that a stream takes them in that order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, file in enumerate(files):
+        fs.setTimes(file, 1_600_000_000_000 + 1000 * i, -1)
 
 
-def arrival_stream(spark, sf, batches=3, files=4):
-    """The whole table as a stream of several batches in arrival order, each of ``files`` files."""
+def arrival_stream(spark, sf, batches=STREAM_BATCHES):
+    """The whole table as a stream of ``batches`` batches in arrival order."""
     path = scratch_path(spark, "arrivals")
     txns = transactions(spark, sf)
-    last = txns.agg(F.max("arrival_seq")).first()[0] + 1
-    for i in range(batches):
-        inside = (F.col("arrival_seq") >= last * i // batches) & (F.col("arrival_seq") < last * (i + 1) // batches)
-        txns.where(inside).repartition(files).write.mode("append").parquet(path)
-    return spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", files).parquet(path)
+    txns.repartitionByRange(batches, "arrival_seq").write.parquet(path)
+    in_turn(spark, path)
+    return spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def stream_flagged(spark, sf):
+    """Window rules batch by batch: open windows appear, and are replaced as they grow."""
     path = scratch_path(spark, "flags")
-    flags = stream_rules.flagged(event_stream(spark, sf), R.PRODUCTION)
-    stream_rules.write_flags(flags, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(flags.schema).parquet(f"{path}/table")
+    # Events come in order of their numbers, which is no order of time: rows may be late by any time here.
+    stream_rules.flag_batches(arrival_stream(spark, sf, 4), R.PRODUCTION, f"{path}/table", f"{path}/checkpoint", lateness=1000 * S.DAY).awaitTermination()
+    return stream_rules.current_flags(spark, f"{path}/table")
 
 
 def stream_features(spark, sf):
     path = scratch_path(spark, "stream")
-    job = stream_jobs.FeatureStream(path)
+    job = stream_jobs.FeatureStream(path, lateness=None)
     stream_jobs.feature_batches(arrival_stream(spark, sf), job, f"{path}/checkpoint").awaitTermination()
-    matrix = spark.read.parquet(f"{path}/features").select(*S.FEATURE_COLUMNS, *S.LABEL_COLUMNS, *S.ID_COLUMNS)
-    return rounded(matrix)
+    return rounded(stream_jobs.read_features(spark, path).select(*S.FEATURE_COLUMNS, *S.LABEL_COLUMNS, *S.ID_COLUMNS))
 
 
-def stream_snapshot(spark, sf):
-    """The consumer end to end: scores come with the rows, snapshots from the written deltas."""
+def consumed(spark, sf, batches=6):
+    """The consumer end to end over a stream whose scores come with the rows: its folder and the counters of its run."""
     path = scratch_path(spark, "consumer")
-    job = stream_jobs.FeatureStream(path, keep=tuple(SCORES))
-    stream_jobs.score_batches(arrival_stream(spark, sf), job, lambda rows: rows, f"{path}/checkpoint").awaitTermination()
+    job = stream_jobs.FeatureStream(path, keep=tuple(SCORES), lateness=None)
+    counters = stream_jobs.RunCounters()
+    spark.streams.addListener(counters)
+    try:
+        query = stream_jobs.score_batches(arrival_stream(spark, sf, batches), job, lambda rows: rows, f"{path}/checkpoint")
+        query.awaitTermination()
+        counters.wait(query)
+    finally:
+        spark.streams.removeListener(counters)
+    return path, counters
+
+
+def stream_snapshot(spark, sf):
+    path, _ = consumed(spark, sf)
     snap = stream_jobs.current_snapshots(spark, path)
     return rounded(snap.withColumn("account_ids", F.array_join("account_ids", ",")))
 
 
+def stream_counters(spark, sf):
+    """Counters observed while the batches were scored, without a pass of their own."""
+    _, counters = consumed(spark, sf, 2)
+    counts = {k: v for k, v in counters.totals().items() if k != "late"}
+    return SC.with_share(spark.createDataFrame([counts], ", ".join(f"{k} bigint" for k in counts)))
+
+
+def stream_rejected(spark, sf):
+    """Raw lines through the stream's router: what becomes of every line, and the good rows of the batches that hold bad ones."""
+    path = scratch_path(spark, "lines")
+    lines = raw_lines(spark, sf)
+    lines.repartitionByRange(6, "arrival_seq").write.parquet(f"{path}/in")
+    in_turn(spark, f"{path}/in")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    line_jobs.route_batches(source, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    good = line_jobs.accepted(spark, f"{path}/out").select("arrival_seq", F.lit("accepted").alias("status"), "transaction_id", "customer_id", "amount")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("transaction_id", "string"), ("customer_id", "string"), ("amount", "double"))]
+    return good.unionByName(line_jobs.rejected(spark, f"{path}/out").select("arrival_seq", F.col("reason").alias("status"), *nothing))
+
+
 RULE_KEYS = {
     "rule_daily_atm": "DAILY_ATM_BREACH",
     "rule_weekly_withdrawal": "WEEKLY_WITHDRAWAL_BREACH",
@@ -583,6 +619,7 @@ def catalog() -> dict[str, Query]:
         "recent_history", "history_summary", "account_breakdown", "alert_history", "case_report",
         "standard_scale", "smote_neighbors", "smote", "isolation_forest", "random_forest", "feature_importance",
         "gnn_scores", "sage_forward", "score_end_to_end", "stream_flagged", "stream_features", "stream_snapshot",
+        "stream_counters", "stream_rejected",
     ]
     queries: dict[str, Query] = {name: here[name] for name in named}
     queries.update({key: window_rule(name) for key, name in RULE_KEYS.items()})

@@ -418,8 +418,14 @@ def oracles() -> dict[str, str]:
         "customer_snapshot": fused.rstrip() + LATE_FUSED + SNAPSHOT,
         "stream_snapshot": fused.rstrip() + ", g AS (SELECT * FROM f)" + SNAPSHOT,
         "stream_features": feat + f"SELECT {six(full)} FROM feat",
-        "stream_flagged": f"WITH {TXN} SELECT * FROM (" + " UNION ALL ".join(rule_sql(n, PRODUCTION, PREDICATES) for n in R_NAMES)
-            + """) WHERE rule_triggered = 'LATE_NIGHT_HIGH_VALUE' OR detected_at <= (SELECT max(event_ts) - INTERVAL 1 hour FROM t)""",
+        "stream_flagged": all_rules(PRODUCTION),
+        "stream_counters": fused + """SELECT count(*) AS transactions, count(*) FILTER (risk_tier <> 'LOW') AS flagged,
+            round(100.0 * count(*) FILTER (risk_tier <> 'LOW') / greatest(count(*), 1), 4) AS flagged_pct,
+            count(*) FILTER (risk_tier = 'HIGH') AS high_alerts, count(*) FILTER (risk_tier = 'MEDIUM') AS medium_alerts,
+            count(*) FILTER (risk_score >= 40) AS alerts FROM f""",
+        "stream_rejected": txn + f"""SELECT arrival_seq, CASE WHEN {LINES_OK} THEN 'accepted' WHEN arrival_seq % 89 = 0 THEN 'malformed' ELSE 'no_customer' END AS status,
+            CASE WHEN {LINES_OK} THEN transaction_id END AS transaction_id, CASE WHEN {LINES_OK} THEN customer_id END AS customer_id,
+            CASE WHEN {LINES_OK} THEN amount END AS amount FROM t WHERE arrival_seq % 97 <> 0""",
         "recent_history": f"WITH {TXN}{HISTORY} SELECT customer_id, transaction_id, place FROM ranked WHERE place <= 10",
         "history_summary": f"WITH {TXN}{HISTORY} SELECT * FROM history",
         "account_breakdown": txn.rstrip() + """, w AS (SELECT customer_id, account_id FROM t UNION SELECT customer_id, customer_id || '-UNUSED' FROM t), o AS (

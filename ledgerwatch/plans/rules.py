@@ -167,8 +167,8 @@ def conditional_aggregates(rules: list[Rule]) -> list[Column]:
     return columns
 
 
-def flags_of(aggregated: DataFrame, rules: list[Rule], detected_at: Column, extra: Column | None = None) -> DataFrame:
-    """One output row per rule that holds on an aggregated row."""
+def flag_array(rules: list[Rule], extra: Column | None = None) -> Column:
+    """The flags of all rules that hold on an aggregated row."""
     outcomes = []
     for i, r in enumerate(rules):
         total, rows = F.coalesce(F.col(f"_total{i}"), F.lit(0)), F.col(f"_rows{i}")
@@ -181,15 +181,21 @@ def flags_of(aggregated: DataFrame, rules: list[Rule], detected_at: Column, extr
                 F.struct(X.major_units(total).alias("flagged_amount"), rows.alias("txn_count"), *_labels(r)),
             )
         )
+    return F.array_compact(F.array(*outcomes))
+
+
+def flags_of(aggregated: DataFrame, rules: list[Rule], detected_at: Column, extra: Column | None = None) -> DataFrame:
+    """One output row per rule that holds on an aggregated row."""
     return (
-        aggregated.select(*KEYS, detected_at.alias("detected_at"), F.explode(F.array_compact(F.array(*outcomes))).alias("_flag"))
+        aggregated.select(*KEYS, detected_at.alias("detected_at"), F.explode(flag_array(rules, extra)).alias("_flag"))
         .select(*KEYS, "_flag.*", "detected_at")
         .select(*OUTPUT)
     )
 
 
-def flagged(txns: DataFrame, profile: list[Rule], offset: int = 0, closed: str = "left") -> DataFrame:
-    """All rules of a profile: one scan, one shuffle."""
+def to_windows(txns: DataFrame, profile: list[Rule], offset: int = 0, closed: str = "left") -> DataFrame:
+    """Each row once for every window length that has an interested rule: ``_to`` has the length, the window's end, and the row itself
+    (length 0) for a rule without a window."""
     bits_of = lambda chosen: sum(1 << i for i, r in enumerate(profile) if chosen(r))
     bucket = lambda width, end, row: F.struct(
         F.lit(width).cast("bigint").alias("width"), end.alias("end"), row.alias("row")
@@ -206,9 +212,13 @@ def flagged(txns: DataFrame, profile: list[Rule], offset: int = 0, closed: str =
     single = bits_of(lambda r: r.window is None)
     if single:
         targets.append(F.when(matches(single), bucket(0, F.col("ts_us"), F.col("arrival_seq"))))
+    return with_matches(txns, profile).select(*KEYS, "amount_minor", MATCHED, F.explode(F.array_compact(F.array(*targets))).alias("_to"))
+
+
+def flagged(txns: DataFrame, profile: list[Rule], offset: int = 0, closed: str = "left") -> DataFrame:
+    """All rules of a profile: one scan, one shuffle."""
     grouped = (
-        with_matches(txns, profile)
-        .select(*KEYS, "amount_minor", MATCHED, F.explode(F.array_compact(F.array(*targets))).alias("_to"))
+        to_windows(txns, profile, offset, closed)
         .groupBy(*KEYS, "_to.width", "_to.end", "_to.row")
         .agg(*conditional_aggregates(profile))
     )

@@ -90,8 +90,8 @@ def scoring_input(txns: DataFrame) -> DataFrame:
     return with_defaults(txns.withColumns({"reported_tier": F.col("account_tier"), "reported_customer": F.col("customer_id")}))
 
 
-def score_rows(rows: DataFrame) -> DataFrame:
-    """Alert records of rows that already carry rules and model scores: no shuffle."""
+def score_rows(rows: DataFrame, beside: list[str] | None = None) -> DataFrame:
+    """Alert records of rows that already carry rules and model scores: no shuffle. Columns ``beside`` stay as they are."""
     tier = "reported_tier" if "reported_tier" in rows.columns else "account_tier"
     known = F.when(F.col("transaction_id").isNull(), "UNKNOWN").otherwise(F.col("transaction_id"))
     filled = rows.withColumns(
@@ -105,7 +105,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
     )
     fused = with_regulation(fuse(filled))
     rounded = {c: F.round(F.col(c).cast("double"), 4) for c in S.FUSION_WEIGHTS}
-    extra = [c for c in ("event_ts", "arrival_seq", "is_suspicious", "reported_customer") if c in rows.columns]
+    extra = [c for c in ("event_ts", "arrival_seq", "is_suspicious", "reported_customer") if c in rows.columns] + (beside or [])
     return fused.withColumns(rounded).select(*ALERT_COLUMNS, *extra)
 
 
@@ -120,14 +120,25 @@ def high_alerts(scored: DataFrame) -> DataFrame:
     return scored.where((F.col("risk_score") >= S.ALERT_SCORE) & (F.col("risk_tier") == "HIGH"))
 
 
+def counters(which: Column | None = None) -> list[Column]:
+    """Counts of a run over the rows ``which``; they add up over batches."""
+    which = F.lit(True) if which is None else which
+    tier = F.col("risk_tier")
+    return [
+        F.count_if(which).alias("transactions"),
+        F.count_if(which & tier.isin("HIGH", "MEDIUM")).alias("flagged"),
+        F.count_if(which & (tier == "HIGH")).alias("high_alerts"),
+        F.count_if(which & (tier == "MEDIUM")).alias("medium_alerts"),
+        F.count_if(which & (F.col("risk_score") >= S.ALERT_SCORE)).alias("alerts"),
+    ]
+
+
 def summary(scored: DataFrame) -> DataFrame:
     """Run counters: transactions, flagged, share, tiers."""
-    tier = F.col("risk_tier")
-    return scored.agg(
-        F.count("*").alias("transactions"),
-        F.count_if(tier.isin("HIGH", "MEDIUM")).alias("flagged"),
-        F.round(100.0 * F.count_if(tier.isin("HIGH", "MEDIUM")) / F.greatest(F.count("*"), F.lit(1)), 4).alias("flagged_pct"),
-        F.count_if(tier == "HIGH").alias("high_alerts"),
-        F.count_if(tier == "MEDIUM").alias("medium_alerts"),
-        F.count_if(F.col("risk_score") >= S.ALERT_SCORE).alias("alerts"),
-    )
+    return with_share(scored.agg(*counters()))
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    """Counts of a run with the share of flagged transactions in percent."""
+    share = F.round(100.0 * F.col("flagged") / F.greatest("transactions", F.lit(1)), 4).alias("flagged_pct")
+    return counts.select("transactions", "flagged", share, "high_alerts", "medium_alerts", "alerts")

@@ -36,6 +36,8 @@ REPORTING_THRESHOLD = 5_000_000
 ATM_DAILY_MAX = 100_000
 TIER_1_DAILY_MAX = 30_000
 LATE_NIGHT_HOURS = (1, 4)
+# Amounts beyond are no amounts: their square sums outgrow the decimals.
+AMOUNT_MAX = 1e12
 
 # Numeric encodings and what an unknown value becomes.
 TIER_CODES = {"TIER_1": 1, "TIER_2": 2, "TIER_3": 3}

@@ -57,8 +57,12 @@ def decode(lines: DataFrame) -> DataFrame:
     # As a generator's output the struct is parsed once, however many fields and filters use it.
     once = F.array(F.from_json("value", corrupt, {"columnNameOfCorruptRecord": "_corrupt"}))
     parsed = lines.where(~blank).select("*", F.explode(once).alias("_txn"))
-    reason = F.when(F.col("_txn._corrupt").isNotNull(), "malformed").when(
-        F.coalesce(F.col("_txn.customer_id"), F.lit("")) == "", "no_customer"
+    amount = F.col("_txn.amount")
+    # NaN counts as larger than any number; beyond the limit, kobo don't fit.
+    reason = (
+        F.when(F.col("_txn._corrupt").isNotNull(), "malformed")
+        .when(F.coalesce(F.col("_txn.customer_id"), F.lit("")) == "", "no_customer")
+        .when(F.coalesce(F.abs(amount) > S.AMOUNT_MAX, F.lit(False)), "bad_amount")
     )
     return parsed.withColumn("reason", reason)
 
@@ -70,6 +74,21 @@ def valid_transactions(lines: DataFrame, on_bad_ts: str = "now") -> DataFrame:
     return complete(with_event_time(txns, on_bad_ts))
 
 
+def routed(lines: DataFrame, on_bad_ts: str = "now") -> DataFrame:
+    """Every line that isn't blank, once: ``status`` is accepted or rejected. Accepted ones carry their fields, event time and integer
+    amount; rejected ones ``value`` and ``reason``. With ``on_bad_ts="drop"``, unreadable times are a reason too."""
+    parsed = decode(lines)
+    when = event_time(F.col("_txn.timestamp"))
+    reason = F.col("reason") if on_bad_ts == "now" else F.coalesce("reason", F.when(when.isNull(), "bad_time"))
+    rows = parsed.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    kept = [c for c in lines.columns if c != "value"]
+    fields = [F.when(good, F.col(f"_txn.{f.name}")).alias(f.name) for f in S.TRANSACTION]
+    wide = rows.select(F.when(good, "accepted").otherwise("rejected").alias("status"), F.when(~good, F.col("value")).alias("value"), "reason", *kept, *fields)
+    event = F.when(F.col("status") == "accepted", F.coalesce(event_time("timestamp"), F.localtimestamp()))
+    return complete(wide.withColumn("event_ts", event))
+
+
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines for the quarantine sink."""
     return decode(lines).where(F.col("reason").isNotNull()).select("value", "reason")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scoring import high_alerts, stored_alerts, with_defaults
-from ..session import cut_lineage
+from .keyed import KeyedTable
 
 
 def transaction_rows(txns: DataFrame) -> DataFrame:
@@ -27,50 +26,26 @@ def transaction_rows(txns: DataFrame) -> DataFrame:
     )
 
 
-def write_transactions(txns: DataFrame, path: str) -> None:
-    """Upsert by transaction_id into day partitions: rows of the same id are replaced wherever they are,
-    all others stay, and a repeated run changes nothing but ``ingested_at``.
+STORED_COLUMNS = [
+    "transaction_id", "account_id", "customer_id", "account_tier", "amount", "currency", "txn_type", "channel", "location", "balance_after",
+    "txn_timestamp", "is_suspicious", "suspicious_typology", "ingested_at",
+]
 
-    Only days that hold new or replaced rows are rewritten. Rebalancing splits a day, or a customer's share of it,
-    that is too large for one task. One writer at a time.
-    """
-    spark = txns.sparkSession
-    rows = cut_lineage(transaction_rows(txns).withColumns(
-        {"ingested_at": F.current_timestamp(), "txn_date": F.col("txn_timestamp").cast("date")}
-    ))
-    stored = _stored(spark, path)
-    emptied = []
-    if stored is not None:
-        stored = stored.select(*rows.columns)
-        ids = rows.select("transaction_id")
-        replaced = stored.join(ids, "transaction_id", "left_semi").select("txn_date").distinct()
-        days = cut_lineage(rows.select("txn_date").distinct().union(replaced).distinct())
-        same_day = F.col("txn_date").eqNullSafe(F.col("_day"))
-        touched = stored.join(days.withColumnRenamed("txn_date", "_day"), same_day, "left_semi")
-        rows = cut_lineage(touched.join(ids, "transaction_id", "left_anti").unionByName(rows))
-        left = rows.select(F.col("txn_date").alias("_day")).distinct()
-        emptied = [r["txn_date"] for r in days.join(left, same_day, "left_anti").collect()]  # days, few
-    (
-        rows.hint("rebalance", "txn_date", "customer_id")
-        .sortWithinPartitions("customer_id", "txn_timestamp")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("txn_date")
-        .parquet(path)
-    )
-    for day in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/txn_date={day or '__HIVE_DEFAULT_PARTITION__'}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table as it is, or None before the first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+
+def transaction_table(spark: SparkSession, path: str, buckets: int = 32) -> KeyedTable:
+    return KeyedTable(spark, path, ("transaction_id",), buckets)
+
+
+def write_transactions(txns: DataFrame, path: str, batch: int | None = None) -> None:
+    """Upsert by transaction_id: rows of the same id are replaced, all others stay, and a repeated run changes nothing but ``ingested_at``.
+
+    A write adds to the buckets of its ids and reads no others; readers see it whole or not at all."""
+    rows = transaction_rows(txns).withColumn("ingested_at", F.current_timestamp())
+    transaction_table(txns.sparkSession, path).upsert(rows.select(*STORED_COLUMNS), batch)
+
+
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    return transaction_table(spark, path).read()
 
 
 def write_alerts(scored: DataFrame, path: str) -> None:

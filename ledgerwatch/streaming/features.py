@@ -1,148 +1,151 @@
-"""Features, scores, alerts and snapshots of a stream, batch by batch.
+"""Features, scores, alerts and snapshots of a stream.
 
-A micro-batch is processed with the same declarative plans as a table, so a busy customer is split
-there as well. Earlier batches enter as partials (see ``state``) and, for the sliding windows, as the
-rows of the seven days before the oldest row of the batch. A row may be late by any time: the history
-behind it is read as far as its windows reach, and the result doesn't depend on how rows fall into batches.
+Features come from Spark's keyed state (see ``state``); models, rules and fusion are columns on top, so a stream of transactions becomes
+a stream of scored rows in one plan. Sinks take it batch by batch, each under the batch's number, so a repeated batch replaces its
+own output. Rows too late for the state go to a table of their own.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schema as S
-from ..functions.scalars import floor_div
 from ..operators import features as FT
-from ..operators import sliding
 from ..operators import snapshots
-from ..operators.prefix import SEGMENT, Running, add_segments, running
 from ..plans import scoring
-from ..session import cut_lineage
 from ..sources import sinks
-from .state import PartialLog, RunningState
+from ..sources.keyed import KeyedTable
+from .state import with_state
 
-TAIL = ["customer_id", "account_id", "arrival_seq", "ts_us", "amount", "amount_minor"]
-HISTORY = (
-    "customer_id string, account_id string, arrival_seq bigint, ts_us bigint, amount double, amount_minor bigint, "
-    "day bigint, batch int"
-)
+COUNTERS = "run_counters"
 
 
-@dataclass
+@dataclass(frozen=True)
 class FeatureStream:
-    """``path`` holds state and outputs; ``keep`` names extra input columns carried along."""
+    """``path`` holds the outputs; ``keep`` names extra input columns carried along. A row may be older than its customer's newest
+    event by ``lateness`` microseconds; None: by any time, and nothing is ever removed from the state."""
 
     path: str
     keep: tuple[str, ...] = ()
-    compact_every: int = 20
-    max_rows: int = FT.MAX_ROWS
-    max_rows_per_week: int = FT.MAX_ROWS_PER_WEEK
-    rows_per_segment: int = FT.ROWS_PER_SEGMENT
+    lateness: int | None = S.WEEK
 
-    def batch_features(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Features of one micro-batch of transactions; updates the state."""
-        spark = batch.sparkSession
-        log = PartialLog(spark, f"{self.path}/state", batch_id, self.compact_every)
-        rows = cut_lineage(batch.select(*FT.INPUT_COLUMNS, *self.keep))
-        seen = self._newest_before(log)
-        oldest = rows.agg(F.min("ts_us")).first()[0]
-        log.append("_clock", rows.agg(F.max("ts_us").alias("newest")))
-
-        _, busy = FT.split_by_size(rows, self.max_rows, self.max_rows_per_week)
-        running_rows = rows if busy is None else self._segmented(rows)
-        state = FT.baseline(running_rows, "arrival", RunningState(log)).withColumn("_new", F.lit(True))
-        state = cut_lineage(state.drop(SEGMENT))
-        everything = state
-        if seen is not None and oldest is not None and seen >= oldest - S.WEEK:
-            customers = rows.select("customer_id").distinct()
-            tail = self._tail(spark, batch_id, oldest - S.WEEK, seen).join(customers, "customer_id", "left_semi")
-            everything = state.unionByName(tail, allowMissingColumns=True)
-        recent = rows.select(*TAIL, floor_div("ts_us", S.DAY).alias("day"))
-        (
-            recent.withColumn("batch", F.lit(batch_id))
-            .hint("rebalance", "day")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "batch")
-            .parquet(f"{self.path}/history")
-        )
-        return FT.assemble(self._windows(everything).where("_new"), list(self.keep))
-
-    def _windows(self, rows: DataFrame) -> DataFrame:
-        one = [Running("_place", "sum", F.lit(1).cast("bigint"))]
-        ordinary, busy = FT.split_by_size(rows, self.max_rows, self.max_rows_per_week)
-        result = sliding.by_arrival(running(ordinary, ["customer_id"], ["arrival_seq"], one))
-        if busy is None:
-            return result
-        placed = cut_lineage(running(self._segmented(busy), ["customer_id"], ["arrival_seq"], one))
-        return result.unionByName(sliding.by_arrival(placed, self.rows_per_segment))
-
-    def _segmented(self, rows: DataFrame) -> DataFrame:
-        unit = max(self.rows_per_segment // 8, 1)
-        return add_segments(rows, ["customer_id"], "arrival_seq", unit, self.rows_per_segment)
-
-    def _newest_before(self, log: PartialLog) -> int | None:
-        """Newest event time of the earlier batches."""
-        newest = F.max("newest").alias("newest")
-        clock = log.earlier("_clock", lambda rows: rows.agg(newest))
-        return None if clock is None else clock.agg(newest).first()[0]
-
-    def _tail(self, spark: SparkSession, batch_id: int, oldest_us: int, newest_us: int) -> DataFrame:
-        """Rows of earlier batches the windows still reach. Only the folders of those days are
-        listed, so the history behind them may grow or be removed."""
-        days = ",".join(str(d) for d in range(oldest_us // S.DAY, newest_us // S.DAY + 1))
-        history = (
-            spark.read.schema(HISTORY).option("basePath", f"{self.path}/history").parquet(f"{self.path}/history/day={{{days}}}")
-        )
-        return history.where((F.col("batch") < batch_id) & (F.col("ts_us") >= oldest_us)).select(*TAIL)
+    def features(self, stream: DataFrame) -> DataFrame:
+        """Feature rows of a stream of transactions, with ``late``."""
+        return FT.assemble(with_state(stream, [*FT.INPUT_COLUMNS, *self.keep], self.lateness), [*self.keep, "late"])
 
 
 def feature_batches(stream: DataFrame, job: FeatureStream, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write features per batch under ``job.path/features``."""
+    """Write features under ``job.path/features``, late rows apart: one pass, each row once."""
+    return (
+        job.features(stream).writeStream.format("parquet").partitionBy("late")
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(f"{job.path}/features")
+    )
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        job.batch_features(batch, batch_id).write.mode("overwrite").parquet(f"{job.path}/features/batch={batch_id}")
 
-    return _start(stream, process, checkpoint, trigger)
+def read_features(spark: SparkSession, path: str, late: bool = False) -> DataFrame:
+    return spark.read.parquet(f"{path}/features").where(F.col("late") == F.lit(late)).drop("late")
+
+
+# Columns of the transaction table that scoring changes or has no use for; they travel beside.
+STORED = ("account_tier", "type", "channel", "currency", "location", "balance_after", "is_suspicious", "suspicious_typology")
+
+
+def scored_stream(stream: DataFrame, job: FeatureStream, models: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scored rows of a stream, with what the transaction table needs, and counters of the run observed on the way.
+
+    ``models`` adds iso_score, rf_score and gnn_score to feature rows."""
+    rows = scoring.scoring_input(stream)
+    kinds = {f.name: f.dataType for f in S.TRANSACTION.fields}
+    beside = {f"stored_{c}": (F.col(c) if c in rows.columns else F.lit(S.FIELD_DEFAULTS.get(c))).cast(kinds[c]) for c in STORED}
+    rows = rows.withColumns(beside | {"stored_customer": F.col("customer_id"), "stored_account": F.col("account_id"), "stored_id": F.col("transaction_id")})
+    carried = ("stored_customer", "stored_account", "stored_id", *beside)
+    wide = replace(job, keep=tuple(dict.fromkeys([*job.keep, *scoring.REPORTED, *carried]))).features(rows)
+    ruled = models(wide).withColumn("triggered_rules", scoring.triggered_rules())
+    scored = scoring.score_rows(ruled, [*carried, "late"]).withColumn("amount_minor", F.round(F.col("amount") * 100).cast("bigint"))
+    return scored.observe(COUNTERS, *scoring.counters(~F.col("late")), F.count_if("late").alias("late"))
 
 
 def score_batches(
     stream: DataFrame, job: FeatureStream, models: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """The whole consumer: features, model scores, rules, fusion; upserts transactions, and writes alerts, the
-    high-alert feed, run counters and customer snapshot deltas, each under its batch.
-
-    ``models`` adds iso_score, rf_score and gnn_score to feature rows.
-    """
+    """The whole consumer: scores rows, upserts transactions, and writes alerts, the high-alert feed and customer snapshots."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         out = lambda name: f"{job.path}/{name}/batch={batch_id}"
         save = lambda df, name: df.write.mode("overwrite").parquet(out(name))
-        if "location" in batch.columns:
-            sinks.write_transactions(batch, f"{job.path}/transactions")
-        carried = replace(job, keep=tuple(dict.fromkeys([*job.keep, *scoring.REPORTED])))
-        wide = carried.batch_features(scoring.scoring_input(batch), batch_id)
-        ruled = models(wide).withColumn("triggered_rules", scoring.triggered_rules())
-        scored = scoring.score_rows(ruled).withColumn("amount_minor", F.round(F.col("amount") * 100).cast("bigint"))
-        scored = cut_lineage(scored)
-        alerts = scored.drop("reported_customer")
+        save(batch, "scored")
+        rows = spark.read.schema(batch.schema).parquet(out("scored"))
+        scored = rows.where("NOT late").drop("late")
+        save(rows.where("late"), "late")
+        beside = [c for c in scored.columns if c.startswith("stored_")] + ["reported_customer"]
+        alerts = scored.drop(*beside)
         save(scoring.stored_alerts(alerts), "alerts")
         save(scoring.high_alerts(alerts), "high_alerts")
-        save(scoring.summary(scored), "counters")
+        transactions = scored.select(
+            F.col("stored_id").alias("transaction_id"), F.col("stored_account").alias("account_id"), F.col("stored_customer").alias("customer_id"),
+            *[F.col(f"stored_{c}").alias(c) for c in STORED], "amount", "event_ts", "arrival_seq")
+        sinks.write_transactions(transactions, f"{job.path}/transactions", batch_id)
         known = scored.where(F.coalesce("reported_customer", F.lit("")) != "")
-        save(snapshots.delta(known.withColumn("is_suspicious", F.col("is_suspicious") == 1)), "snapshot_deltas")
+        snapshot_table(spark, job.path).upsert(snapshots.delta(known.withColumn("is_suspicious", F.col("is_suspicious") == 1)), batch_id)
+
+    return _start(scored_stream(stream, job, models), process, checkpoint, trigger)
+
 
-    return _start(stream, process, checkpoint, trigger)
+def snapshot_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Mergeable rows per customer: a batch adds the deltas of its customers, which fold into one."""
+    return KeyedTable(spark, f"{path}/snapshots", ("customer_id",), fold=snapshots.merge)
 
 
 def current_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Customer snapshots from all deltas written so far."""
-    return snapshots.snapshot(snapshots.merge(spark.read.parquet(f"{path}/snapshot_deltas")))
+    """Customer snapshots as of the last committed batch."""
+    return snapshots.snapshot(snapshot_table(spark, path).read())
+
+
+class RunCounters(StreamingQueryListener):
+    """Counters of a run, taken from the batches while they are computed; a repeated batch counts once."""
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(COUNTERS)
+        if row is not None:
+            with self.changed:
+                self.batches[str(event.progress.id), event.progress.batchId] = row.asDict()
+                self.changed.notify_all()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.changed.notify_all()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until the last batch of an ended query is counted: listeners are told a little later."""
+        last = query.lastProgress
+        if last is not None:
+            done = lambda: any(b >= last.batchId for q, b in self.batches if q == str(query.id))
+            with self.changed:
+                self.changed.wait_for(done, seconds)
+
+    def totals(self) -> dict[str, int]:
+        sums: dict[str, int] = {}
+        for row in self.batches.values():
+            for name, value in row.items():
+                sums[name] = sums.get(name, 0) + (value or 0)
+        return sums
 
 
 def _start(stream: DataFrame, process, checkpoint: str, trigger: dict) -> StreamingQuery:

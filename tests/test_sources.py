@@ -49,7 +49,7 @@ def test_tables_are_idempotent(spark, folder):
     )
     for _ in range(2):
         sinks.write_transactions(txns, f"{folder}/t")
-    stored = spark.read.parquet(f"{folder}/t")
+    stored = sinks.read_transactions(spark, f"{folder}/t")
     assert stored.count() == 2 and stored.first()["currency"] == "NGN"
 
 
