@@ -193,16 +193,7 @@ def flat_pairs(answers: DataFrame) -> DataFrame:
 
 def replaced(seqs: DataFrame, answers: DataFrame, level: DataFrame) -> DataFrame:
     """Sequences (chunk, seq) in which every frequent pair's id stands at its first part's place."""
-    ids = level.select("bucket", "place", "id").groupBy("bucket").applyInArrow(
-        lambda table: pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()),
-                                "ids": pa.array([pack(table.sort_by("place").column("id").to_numpy())], pa.binary())}), "bucket int, ids binary")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pack(unpack(i)[unpack(p)]) for i, p in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
-            yield pa.record_batch({"chunk": batch.column("chunk"), "keys": batch.column("keys"), "ids": pa.array(found, pa.binary())})
-
-    told = answers.where("chunk IS NOT NULL").join(ids, "bucket").select("chunk", "keys", "found", "ids").mapInArrow(named, "chunk bigint, keys binary, ids binary")
+    told = with_ids(answers, level)
 
     def put(seq: pa.Table, told: pa.Table) -> pa.Table:
         out = [], []
@@ -227,14 +218,119 @@ def short(seq: np.ndarray) -> np.ndarray:
     return seq[~(gap & np.append(False, gap[:-1]))] if len(seq) else seq
 
 
-def with_word_ids(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Sequences (chunk, seq) of the ids of frequent words."""
-    own = chunks.select(F.col("chunk").alias("owner"), F.posexplode(F.arrays_zip("langs", "words")).alias("place", "entry"))
-    named = words.select(F.col("lang").alias("langs"), F.col("phrase").alias("words"), "id")
-    found = own.select("owner", "place", "entry.langs", "entry.words").join(named, ["langs", "words"]).select("owner", "place", "id")
+def sent_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, langs, words, places, counts): the distinct words of every chunk by hash, sorted and packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, langs, words, counts in zip(batch.column("chunk").to_pylist(), *(batch.column(c) for c in ("langs", "words", "counts"))):
+                lang, words, counts = langs.values.dictionary_encode(), words.values.cast(pa.large_string()), counts.values.to_numpy()
+                flat, offsets = buffer_of(words)
+                code = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.lexsort((pc.rank(words, "ascending", tiebreaker="dense").to_numpy(), code))
+                bucket = (hashes(flat, offsets) % u64(buckets)).astype(np.int64)[order]
+                at = order[np.argsort(bucket, kind="stable")]
+                cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1)).tolist()
+                names = lang.dictionary.to_pylist()
+                rows = []
+                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if j > i:
+                        some = at[i:j]
+                        per = np.bincount(code[some], minlength=len(names))
+                        text = "\n".join(words.take(pa.array(some)).to_pylist())
+                        rows.append((b, chunk, [n for n, c in zip(names, per) if c], [int(c) for c in per if c], packed_text(text), pack(some), pack(counts[some])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), WORD_KINDS)], names=WORD_NAMES)
 
+    return chunks.select("chunk", "langs", "words", "counts").mapInArrow(
+        run, "bucket int, chunk bigint, langs array<string>, sizes array<bigint>, words binary, places binary, counts binary")
+
+
+WORD_NAMES = ["bucket", "chunk", "langs", "sizes", "words", "places", "counts"]
+WORD_KINDS = (pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+
+
+def hashes(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of every word: sums of its bytes, each mixed with its place."""
+    size = np.diff(offsets)
+    place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)), dtype=np.uint64)])
+    return mixed(total[offsets[1:]] - total[offsets[:-1]])
+
+
+def packed_text(text: str) -> bytes:
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked_text(data: bytes) -> str:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+
+
+def met_words(words: DataFrame, least: int) -> DataFrame:
+    """Of every bucket, the words of ``least`` occurrences (chunk null, langs, words, sums), and for each chunk which of them it holds (its own
+    numbers, places among them)."""
+    def run(table: pa.Table) -> pa.Table:
+        langs, texts, numbers = [], [], []
+        for names, sizes, text in zip(*(table.column(c).to_pylist() for c in ("langs", "sizes", "words"))):
+            texts += text.split("\n") if (text := unpacked_text(text)) else []
+            langs += [n for n, size in zip(names, sizes) for _ in range(size)]
+        places, sizes = joined(table.column("places").to_pylist())
+        counts = joined(table.column("counts").to_pylist())[0]
+        lang, word = pa.array(langs, pa.string()).dictionary_encode(), pa.array(texts, pa.large_string()).dictionary_encode()
+        key = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | word.indices.to_numpy(zero_copy_only=False)
+        all_keys, place = np.unique(key, return_inverse=True)
+        total = np.zeros(len(all_keys), np.int64)
+        np.add.at(total, place, counts)
+        often = total >= least
+        number = np.cumsum(often) - 1
+        bucket = table.column("bucket")[0].as_py()
+        found = all_keys[often]
+        rows = []
+        if len(found):
+            rows.append((None, lang.dictionary.take(pa.array(found >> 32)).to_pylist(), word.dictionary.take(pa.array(found & 0xFFFFFFFF)).to_pylist(), None, pack(total[often])))
+        ends = np.cumsum(sizes)
+        for chunk, i, j in zip(table.column("chunk").to_pylist(), (ends - sizes).tolist(), ends.tolist()):
+            own = np.flatnonzero(often[place[i:j]]) + i
+            if len(own):
+                rows.append((chunk, None, None, pack(places[own]), pack(number[place[own]])))
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary())
+        return pa.table([pa.array([bucket] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                        names=["bucket", "chunk", "langs", "words", "keys", "found"])
+
+    return words.groupBy("bucket").applyInArrow(run, "bucket int, chunk bigint, langs array<string>, words array<string>, keys binary, found binary")
+
+
+def flat_words(answers: DataFrame) -> DataFrame:
+    """(bucket, place, lang, phrase, f): the frequent words, one a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, langs, words, total in zip(batch.column("bucket").to_pylist(), batch.column("langs"), batch.column("words"), batch.column("found").to_pylist()):
+                n = len(words.values)
+                yield pa.record_batch({"bucket": pa.array(np.full(n, bucket), pa.int32()), "place": pa.array(np.arange(n), pa.int32()),
+                                       "lang": langs.values, "phrase": words.values, "f": pa.array(unpack(total))})
+
+    return answers.where("chunk IS NULL").select("bucket", "langs", "words", "found").mapInArrow(run, "bucket int, place int, lang string, phrase string, f bigint")
+
+
+def with_ids(answers: DataFrame, level: DataFrame) -> DataFrame:
+    """(chunk, keys, ids): what a chunk holds of the frequent words or pairs, by their ids."""
+    ids = level.select("bucket", "place", "id").groupBy("bucket").applyInArrow(
+        lambda table: pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()),
+                                "ids": pa.array([pack(table.sort_by("place").column("id").to_numpy())], pa.binary())}), "bucket int, ids binary")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pack(unpack(i)[unpack(p)]) for i, p in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
+            yield pa.record_batch({"chunk": batch.column("chunk"), "keys": batch.column("keys"), "ids": pa.array(found, pa.binary())})
+
+    return answers.where("chunk IS NOT NULL").join(ids, "bucket").select("chunk", "keys", "found", "ids").mapInArrow(named, "chunk bigint, keys binary, ids binary")
+
+
+def with_word_ids(chunks: DataFrame, answers: DataFrame, words: DataFrame) -> DataFrame:
+    """Sequences (chunk, seq) of the ids of frequent words."""
     def put(seq: pa.Table, told: pa.Table) -> pa.Table:
-        place, ids = (told.column(c).to_numpy() for c in ("place", "id"))
+        place, ids = (joined(told.column(c).to_pylist())[0] for c in ("keys", "ids"))
         table = np.full(int(place.max(initial=-1)) + 2, -1, np.int64)
         table[place] = ids
         data = []
@@ -243,7 +339,7 @@ def with_word_ids(chunks: DataFrame, words: DataFrame) -> DataFrame:
             data.append(pack(short(table[np.minimum(old, len(table) - 1)])))  # gaps and words without id: the last entry
         return pa.table({"chunk": seq.column("chunk").cast(pa.int64()), "seq": pa.array(data, pa.binary())})
 
-    seqs = chunks.select("chunk", "seq").groupBy("chunk").cogroup(found.groupBy("owner"))
+    seqs = chunks.select("chunk", "seq").groupBy("chunk").cogroup(with_ids(answers, words).groupBy("chunk"))
     return cut_lineage(seqs.applyInArrow(put, "chunk bigint, seq binary"))
 
 
@@ -280,12 +376,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     sizes = cut_lineage(sizes)
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(shuffle_width(spark), total // PAIRS + 1))
-    often = chunks.select(F.explode(F.arrays_zip("langs", "words", "counts")).alias("s")).groupBy(F.col("s.langs").alias("lang"), F.col("s.words").alias("phrase")).agg(
-        F.sum("s.counts").alias("f")).where(F.col("f") >= least)
     rank = lambda rows, *ties: cut_lineage(ranked(rows, [F.desc("f"), *ties]))
-    words = rank(often, F.asc("lang"), F.asc("phrase"))
+    answers = cut_lineage(met_words(sent_words(chunks, buckets), least))
+    words = rank(flat_words(answers), F.asc("lang"), F.asc("phrase"))
     phrases = words.select("*", F.col("phrase").alias("last"), F.array("f").alias("begins"), F.array("f").alias("ends"))
-    seqs = with_word_ids(chunks, words)
+    seqs = with_word_ids(chunks, answers, words)
     levels = []
     for length in range(2, longest + 1):
         answers = cut_lineage(met(sent(seqs, buckets), least))
