@@ -21,6 +21,8 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,11 @@ from .text import mixed, ragged, slices, sums_by, u64, whole
 from .token_counts import byte_symbols
 
 MARK = "▁"
-CHUNK = 16 << 20  # bytes of text
+CHUNK = 6 << 20  # bytes of text
 KEYS = 4 << 20  # pairs of a chunk per bucket
-REMEMBERED = 1 << 27  # bytes of parts and links that a task keeps between batches
-LEARNED = 50_000  # parts that the libraries get at once
+REMEMBERED = 5 << 24  # bytes of parts and links that a task keeps between batches
+LEARNED = 10_000  # parts that the libraries get at once
+TEXT = 2000  # bytes of parts in one text
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -85,6 +88,36 @@ class Pair:
         self.texts: list[str] = []
         self.held = 0
 
+    def tokens(self, parts: list[str]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray]:
+        """``spans`` of parts, which go to the libraries many in one text: a part that ends in a letter or sign doesn't touch
+        the next one. Where the bytes of such a text aren't right, its parts go one by one."""
+        size = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        first, held = [], TEXT
+        for i, part in enumerate(parts):
+            if held >= TEXT:
+                first.append(i)
+                held = 0
+            held = held + int(size[i]) if "!" <= part[-1] <= "~" or "À" <= part[-1] <= "ÿ" else TEXT
+        cuts = np.append(first, len(parts))
+        *sides, right = self.spans(["".join(parts[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+        alone = np.repeat(~right & (np.diff(cuts) > 1), np.diff(cuts))
+        out = []
+        for id_, text, end in sides:
+            at = offsets[cuts[text]] + end
+            part = np.searchsorted(offsets, at) - 1
+            keep = right[text]
+            out.append((id_[keep], part[keep], (at - offsets[part])[keep]))
+        right = np.repeat(right, np.diff(cuts))
+        if alone.any():
+            own = np.flatnonzero(alone)
+            *sides, right[own] = self.spans([parts[i] for i in own.tolist()])
+            for k, (id_, part, end) in enumerate(sides):
+                more = [np.concatenate(v) for v in zip(out[k], (id_, own[part], end))]
+                order = np.argsort(more[1], kind="stable")
+                out[k] = tuple(v[order] for v in more)
+        return out[0], out[1], right
+
     def spans(self, parts: list[str]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray]:
         """(id, part, byte end in its part) of A's and of B's tokens, and whether a part's joined bytes are right."""
         flat, offsets = flattened([p.encode() for p in parts])
@@ -92,10 +125,9 @@ class Pair:
         n = len(parts)
 
         found = self.a.encode_batch(parts, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        per = np.fromiter(map(len, ids), np.int64, n)
-        a_id = np.fromiter((i for x in ids for i in x), np.int64, int(per.sum()))
-        span = np.fromiter((v for e in found for s in e.offsets for v in s), np.int64, 2 * len(a_id)).reshape(-1, 2)
+        per = np.fromiter(map(len, found), np.int64, n)
+        a_id = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, int(per.sum()))
+        span = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * len(a_id)).reshape(-1, 2)
         a_part = np.repeat(np.arange(n), per)
         starts = np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat))  # bytes at which characters begin
         chars = np.searchsorted(starts, offsets)
@@ -104,9 +136,9 @@ class Pair:
         a_end = np.where(shared, self.exact(a_id, per, self.a_first), a_end)
 
         found = self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)
-        pairs = [[(p.id, p.end) for p in e.pieces] for e in found]
-        per = np.fromiter(map(len, pairs), np.int64, n)
-        b_id, end = np.fromiter((v for x in pairs for s in x for v in s), np.int64, 2 * int(per.sum())).reshape(-1, 2).T
+        per = np.fromiter((len(e.pieces) for e in found), np.int64, n)
+        pieces = [p for e in found for p in e.pieces]
+        b_id, end = (np.fromiter(map(attrgetter(c), pieces), np.int64, len(pieces)) for c in ("id", "end"))
         b_part = np.repeat(np.arange(n), per)
         b_end = np.where(self.fallback[b_id], self.exact(b_id, per, self.b_first), end + 1)  # behind the space in front
 
@@ -128,12 +160,12 @@ class Pair:
         return total - np.repeat(before, per)
 
     def learn(self, parts: list[str]) -> None:
-        (a_id, a_part, a_end), (b_id, b_part, b_end), right = self.spans(parts)
+        (a_id, a_part, a_end), (b_id, b_part, b_end), right = self.tokens(parts)
         n = len(parts)
         a, b = right[a_part], right[b_part]
         a_id, a_part, a_end, b_id, b_part, b_end = a_id[a], a_part[a], a_end[a], b_id[b], b_part[b], b_end[b]
         a_at, b_at = a_part << 32 | a_end, b_part << 32 | b_end
-        common = np.intersect1d(a_at, b_at)
+        common = np.intersect1d(a_at, b_at, assume_unique=True)
         a_group, b_group = np.searchsorted(common, a_at), np.searchsorted(common, b_at)
         of_group = common >> 32
         in_a, in_b = (np.bincount(g, minlength=len(common)) for g in (a_group, b_group))
@@ -182,8 +214,15 @@ class Pair:
         return number[found.indices.to_numpy(zero_copy_only=False)], first
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in rising order, and how often each is there; ``values`` is sorted."""
+    values.sort()
+    head = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[head], np.diff(np.append(head, len(values)))
+
+
 def distinct(group: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, counts = np.unique(group << 32 | id_, return_counts=True)
+    keys, counts = counted(group << 32 | id_)
     return keys >> 32, keys & 0xFFFFFFFF, counts
 
 
@@ -209,15 +248,18 @@ def packed_chunk(pair: Pair, texts: pa.Array, groups: str) -> dict[str, object]:
         shown.append(hashlib.sha256(text.encode()).hexdigest() if groups == "digest" and text else text)
     out["groups"] = shown
     keep = ~wrong[of]
-    held, times = np.unique(of[keep] << 32 | number[keep], return_counts=True)
-    own, place = np.unique(held & 0xFFFFFFFF, return_inverse=True)
+    held, times = counted(of[keep] << 32 | number[keep])
+    own = np.flatnonzero(np.bincount(held & 0xFFFFFFFF, minlength=1))[: len(held)]
+    place = np.searchsorted(own, held & 0xFFFFFFFF)
     doc = held >> 32
     sizes = pair.keys.sizes(own)
     at = ragged(pair.keys.start(own), sizes)
     keys, link = np.unique(pair.keys.flat[at], return_inverse=True)
     # Documents of a pair: a document's parts may hold it several times.
     begin = np.cumsum(sizes) - sizes
-    once = np.unique(np.repeat(doc, sizes[place]) << 32 | link[ragged(begin[place], sizes[place])])
+    once = np.repeat(doc, sizes[place]) << 32 | link[ragged(begin[place], sizes[place])]
+    once.sort()
+    once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
     out |= {"parts": pack(place), "per_doc": pack(np.bincount(doc, minlength=len(first) - 1)), "times": pack(times),
             "links": pack(link), "per_part": pack(sizes), "weights": pack(pair.times.flat[at]),
             "keys": pack(keys, True), "docs": pack(np.bincount(once & 0xFFFFFFFF, minlength=len(keys))), "n_keys": len(keys)}
