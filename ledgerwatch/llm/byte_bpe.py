@@ -32,8 +32,9 @@ from .tables import column, free_name
 from .text import ragged, slices
 
 LONG = 256  # bytes of a match that the query takes
+SLICE = 4 << 20  # bytes of texts that are encoded together
 WORDS = 30_000  # matches that one query holds
-TOKENS = 1 << 19  # ids that one decoding query holds
+TOKENS = 1 << 18  # ids that one decoding query holds
 REMEMBERED = 1 << 27  # bytes of matches and ids that a task keeps between batches
 POSITION = 24  # bits of a position below the rank
 
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 flat, first = ranks.encode(part.column("text"))
                 found = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, ids])
