@@ -7,7 +7,8 @@ the whole page is found by dynamic programming, so an ancestor and its descendan
 
 No page of the tables is labelled. The trees learn from a bounded sample of pages whose markup names its parts (article or
 main, nav, header, footer, aside, form and telling class names), each also in rewritten forms without those names or with
-further parts, so that structure and density must carry the decision where names are missing.
+further parts, so that structure and density must carry the decision where names are missing. If no page of a table names any,
+the sample is made of pages put together from the table's own words.
 
 Text. Elements of the block list break lines, others run on; white space in a block becomes one space, blocks are joined
 by one line end, character references are decoded. Script, style, template, noscript and head never count.
@@ -110,7 +111,8 @@ class Tree(HTMLParser):
         self.stack.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in HIDDEN:  # nothing is in it, so nothing is hidden
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in VOID and (k := self.place((tag,), frozenset() if tag in BLOCK or tag in HIDDEN else BLOCK)):
@@ -328,7 +330,7 @@ def named(nodes: list[Node]) -> np.ndarray | None:
 def rewritten(html: str, draw: random.Random) -> str:
     """The page in another dress: parts renamed to plain elements or other names, and further parts around or
     in its article made of its own texts. Labels are taken over by marks that are removed before anything is measured."""
-    words = re.sub(r"<[^>]*>", " ", html)[:20_000].split() or ["a"]
+    words = re.sub(r"<[^>]*>", " ", html).split() or ["a"]
 
     def some(low: int, high: int) -> str:
         at = draw.randrange(len(words))
@@ -405,11 +407,36 @@ def examples(html: str, draw: random.Random, dresses: int) -> Iterator[tuple[np.
         yield described(nodes), (np.array(state) == 1).astype(float)
 
 
+def made(html: str, draw: random.Random) -> str:
+    """A page of named parts out of another page's words, for tables in which no page names any."""
+    words = re.sub(r"<[^>]*>", " ", html).split() or ["a"]
+
+    def some(low: int, high: int) -> str:
+        at = draw.randrange(len(words))
+        return " ".join(words[at : at + draw.randint(low, high)]) or words[0]
+
+    links = "".join(f'<li><a href="/{k}">{some(1, 3)}</a></li>' for k in range(draw.randint(3, 9)))
+    body = "".join(f"<p>{some(20, 90)}.</p>" for _ in range(draw.randint(2, 12)))
+    return f"<html><body><nav><ul>{links}</ul></nav><article><h1>{some(3, 9)}</h1>{body}</article><footer><p>{some(3, 15)}</p></footer></body></html>"
+
+
+def chosen(pages: DataFrame, sample: int, key: str) -> list[tuple[object, str]]:
+    """At most ``sample`` pages (id, html) by hash of their id: the ids first, so that no other page's html leaves its task."""
+    rows = pages.select(column(key).alias("id"), "html", F.xxhash64("html").alias("h"))
+    ids = rows.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(sample).select(F.col("id").alias("own"), F.col("h").alias("mark"))
+    of_ids = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("mark")))  # ``sample`` rows
+    once = of_ids.groupBy("id", "h").agg(F.min("html").alias("html"))
+    return [(r.id, r.html) for r in sorted(once.collect(), key=lambda r: (str(r.id), r.h))]
+
+
 def trained(pages: DataFrame, sample: int = 300, dresses: int = 3, key: str = "page_id") -> Trees | None:
-    """Trees from at most ``sample`` pages, chosen by hash of their id, with named parts; None if there are none."""
-    rows = pages.where(F.lower("html").rlike("<(article|main)[ >]")).select(column(key).alias("id"), "html")
-    chosen = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample).collect()
-    found = [e for r in chosen for e in examples(r.html, random.Random(str(r.id)), dresses)]
+    """Trees from at most ``sample`` pages, chosen by hash of their id, with named parts. Where no page has any, from pages made of the words
+    of as many others; None for a table without html."""
+    some = chosen(pages.where(F.lower("html").rlike("<(article|main)[ >]")), sample, key)
+    found = [e for i, html in some for e in examples(html, random.Random(str(i)), dresses)]
+    if not found:
+        some = chosen(pages.where("html IS NOT NULL AND html <> ''"), sample, key)
+        found = [e for i, html in some for e in examples(made(html, random.Random(str(i))), random.Random(str(i)), dresses)]
     if not found:
         return None
     return Trees().fit(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
