@@ -111,14 +111,14 @@ class Model:
                 heapq.heappush(heap, (-(best[begin] + total), begin, count, total, (piece, path)))
         return found
 
-    def alternatives(self, text: str, n: int) -> tuple[list[float], list[int]]:
-        """What each further one of a part's n best segmentations loses, and how many more pieces it has."""
+    def alternatives(self, text: str, n: int) -> tuple[list[float], list[np.ndarray]]:
+        """What each further one of a part's n best segmentations loses, and its ids."""
         key = (text, n)
         if key not in self.further:
             if len(self.further) >= REMEMBERED:
                 self.further.clear()
-            (score, ids), *rest = self.segmentations(text.replace(" ", MARK), n)
-            self.further[key] = [score - s for s, _ in rest], [len(x) - len(ids) for _, x in rest]
+            (score, _), *rest = self.segmentations(text.replace(" ", MARK), n)
+            self.further[key] = [score - s for s, _ in rest], [np.array(x, np.int32) for _, x in rest]
         return self.further[key]
 
     def edges(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ class Model:
         self.flat = np.zeros(0, np.int32)
         self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.totals, self.losses = np.zeros(0), np.zeros(0)
-        self.further: dict[tuple[str, int], tuple[list[float], list[int]]] = {}
+        self.further: dict[tuple[str, int], tuple[list[float], list[np.ndarray]]] = {}
 
 
 @lru_cache(maxsize=4)
@@ -237,22 +237,31 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def best_sums(places: list[tuple[list[float], list[int]]], n: int) -> list[tuple[float, int]]:
-    """The n smallest (loss, more pieces) over choices of one entry from each place; entry 0 is (0, 0)."""
-    options = [list(zip([0.0, *losses], [0, *more])) for losses, more in places]
+def best_sums(places: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n smallest (loss, choices) over choices of one entry from each place; entry 0 loses nothing."""
+    options = [[0.0, *losses] for losses in places]
     start = (0,) * len(options)
     heap, seen, out = [(0.0, start)], {start}, []
     while heap and len(out) < n:
-        loss, chosen = heapq.heappop(heap)
-        out.append((loss, sum(o[c][1] for o, c in zip(options, chosen))))
+        out.append(heapq.heappop(heap))
+        chosen = out[-1][1]
         for i, c in enumerate(chosen):
             later = chosen[:i] + (c + 1,) + chosen[i + 1 :]
             if c + 1 < len(options[i]) and later not in seen:
                 seen.add(later)
-                heapq.heappush(heap, (sum(o[k][0] for o, k in zip(options, later)), later))
+                heapq.heappush(heap, (sum(o[k] for o, k in zip(options, later)), later))
     return out
 
 
+def spliced(ids: np.ndarray, changes: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """``ids`` with ids[a:b] replaced, for each of the changes (a, b, by) in order."""
+    out, at = [], 0
+    for a, b, by in changes:
+        out += [ids[at:a], by]
+        at = b
+    return np.concatenate([*out, ids[at:]])
+
+
 def parts_of(texts: pa.Array, loose_lines: bool) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
     """All texts' bytes with one space before each, their parts as a dictionary, and each text's first part."""
     lead = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
@@ -273,7 +282,7 @@ def parts_of(texts: pa.Array, loose_lines: bool) -> tuple[np.ndarray, pa.Diction
 
 
 def encoded(texts: pa.Array, path: str, n: int) -> dict[str, object]:
-    """For every text: ids of the best segmentation (flat, with offsets), and scores and piece counts of the n best."""
+    """For every text: ids of the best segmentation (flat, with offsets), and ids and scores of the n best."""
     own = model(path)
     texts = whole(texts)
     flat, parts, first = parts_of(texts, own.loose_lines)
@@ -284,17 +293,24 @@ def encoded(texts: pa.Array, path: str, n: int) -> dict[str, object]:
     ids = own.flat[ragged(own.begins[place], own.lengths[place])]
     score, gap = own.totals[place], own.losses[place]
     count = sums_by(own.lengths[place], first)
-    scores, counts = [], []
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    ends = np.cumsum(own.lengths[place])
+    scores, lists = [], []
     for j, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         total, near = float(score[a:b].sum()), gap[a:b]
         some = np.arange(b - a)
         if len(some) > n - 1:
             limit = np.partition(near, n - 2)[n - 2] if n > 1 else -np.inf
             some = np.flatnonzero(near <= limit)[np.argsort(near[near <= limit], kind="stable")][: n - 1]
-        sums = best_sums([own.alternatives(names[index[a + i]], n) for i in some.tolist() if np.isfinite(near[i])], n)
+        some = [a + i for i in some.tolist() if np.isfinite(near[i])]
+        further = [own.alternatives(names[index[i]], n) for i in some]
+        sums = best_sums([losses for losses, _ in further], n)
+        best, begin = ids[offsets[j] : offsets[j + 1]], offsets[j]
         scores.append([total - loss for loss, _ in sums])
-        counts.append([int(count[j]) + more for _, more in sums])
-    return {"ids": ids, "offsets": np.concatenate([[0], np.cumsum(count)]), "scores": scores, "counts": counts, "texts": texts}
+        lists.append([best] + [spliced(best, sorted(
+            [(ends[i] - own.lengths[place[i]] - begin, ends[i] - begin, further[m][1][c - 1]) for m, (i, c) in enumerate(zip(some, chosen)) if c], key=lambda x: x[0]))
+            for _, chosen in sums[1:]])
+    return {"ids": ids, "offsets": offsets, "scores": scores, "lists": lists, "texts": texts}
 
 
 def decoded(ids: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -311,14 +327,15 @@ def decoded(ids: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
 
 def encode(docs: DataFrame, path: str, n: int = 4, ids: str = "list", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds to the columns ``keep`` of ``docs`` (default: all but text): n_bytes, ids of the best segmentation (or
-    ids_sha256 of them as 32-bit little-endian integers with ``ids="digest"``), n_pieces, nbest_scores and
-    nbest_pieces of the n best, best first (fewer where there are fewer), and round_trip: whether the pieces decode to the text."""
+    ids_sha256 of them as 32-bit little-endian integers with ``ids="digest"``), n_pieces, and of the n best, best first (fewer where there
+    are fewer), nbest_scores, nbest_pieces (how many) and nbest_ids (or nbest_sha256); round_trip: whether the best pieces decode to the text."""
     fields = [c for c in docs.columns if c != "text"] if keep is None else list(keep)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     ids_name = "ids" if ids == "list" else "ids_sha256"
-    new = ["n_bytes", ids_name, "n_pieces", "nbest_scores", "nbest_pieces", "round_trip"]
+    new = ["n_bytes", ids_name, "n_pieces", "nbest_scores", "nbest_pieces", "nbest_ids" if ids == "list" else "nbest_sha256", "round_trip"]
     names = [free_name(docs.select(*fields), c) for c in new]
-    new_kinds = ["bigint", "array<int>" if ids == "list" else "string", "bigint", "array<double>", "array<int>", "boolean"]
+    new_kinds = ["bigint", "array<int>" if ids == "list" else "string", "bigint", "array<double>", "array<int>",
+                 "array<array<int>>" if ids == "list" else "array<string>", "boolean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,11 +351,13 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: str = "list", keep: tupl
                     same = [raw[a:b] == other[c:d] for a, b, c, d in zip(bounds, bounds[1:], ends, ends[1:])]
                 if ids == "list":
                     listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                    others = pa.array(found["lists"], pa.list_(pa.list_(pa.int32())))
                 else:
                     view = memoryview(flat.astype("<i4"))
                     listed = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.string())
+                    others = pa.array([[hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each] for each in found["lists"]], pa.list_(pa.string()))
                 arrays = [pa.array(np.diff(bounds), pa.int64()), listed, pa.array(np.diff(offsets), pa.int64()),
-                          pa.array(found["scores"], pa.list_(pa.float64())), pa.array(found["counts"], pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                          pa.array(found["scores"], pa.list_(pa.float64())), pa.array([list(map(len, each)) for each in found["lists"]], pa.list_(pa.int32())), others, pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in fields] + arrays, names=fields + names)
         model(path).forget()  # Spark keeps the process for other tasks
 
