@@ -1,6 +1,11 @@
+import hashlib
+import math
+
 import corpus_pipeline
 import pytest
 from compare import connect, differences
+from helpers import roots, words
+from test_text_operators import fingerprint, shares
 
 from ledgerwatch.llm import mixing, quality_crf, simhash, substring_dedup
 from ledgerwatch.llm.queries import llm_oracles, llm_queries
@@ -48,3 +53,43 @@ def test_stages_do_their_work(spark):
     taken = mixing.mix_sizes(second).agg({"taken": "sum"}).first()[0]
     out = corpus_pipeline.mixture(spark, second, SF)
     assert out.agg({"n_chars": "count"}).first()[0] > 0 and mixing.mix_sizes(out).agg({"size": "sum"}).first()[0] == taken
+
+
+def test_run_by_definition(spark):
+    """The whole pipeline against plain Python; only the classifier's verdicts are taken from its stage."""
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    good = {r.doc_id for r in quality_crf.quality(docs, labels).where("predicted = 1").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect() if r.doc_id in good}
+    prints = {i: fingerprint(t, 3) for i, (t, _) in rows.items()}
+    near = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2]
+    of = roots(sorted(prints), near)
+    rows = {i: v for i, v in rows.items() if of[i] == i}
+    first = {}
+    for i, (text, _) in sorted(rows.items()):
+        w = words(text)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    left = {}
+    for i, (text, source) in rows.items():
+        w = words(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        if not any(gone) or not all(gone):
+            left[i] = (" ".join(x for x, g in zip(w, gone) if not g) if any(gone) else text, source)
+    sizes = {}
+    for text, source in left.values():
+        sizes[source] = sizes.get(source, 0) + len(words(text))
+    target = shares(sizes)
+    want = {}
+    for i, (text, source) in left.items():
+        rate = target[source] / sizes[source] if sizes[source] else 0
+        drawn = int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 2**52
+        if times := math.floor(rate) + (drawn < rate - math.floor(rate)):
+            want[i] = (times, len((text or "").encode()))
+    found = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r.round_trip
+        found[r.doc_id] = (found.get(r.doc_id, (0,))[0] + 1, r.n_bytes)
+    assert found == want and len(want) > 50

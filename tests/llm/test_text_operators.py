@@ -226,7 +226,13 @@ def test_pieces_are_the_n_best_and_decode(texts):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ids = [found["ids"][a:b].tolist() for a, b in zip(found["offsets"], found["offsets"][1:])]
     assert [library.decode(x) for x in ids] == texts
-    assert [len(x) for x in ids] == [c[0] for c in found["counts"]]
+    for each, text, scores, first in zip(found["lists"], texts, found["scores"], ids):
+        assert len(each) == len(scores) and each[0].tolist() == first and len({tuple(x) for x in map(np.ndarray.tolist, each)}) == len(each)
+        for x, score in zip(each, scores):  # every one of the n best decodes to the text, and has the score that it is listed with
+            assert library.decode(x.tolist()) == text
+            spelled = [i for i in x.tolist() if not library.is_byte(i) and not library.is_unknown(i)]
+            others = sum(c not in model.ids for c in ("▁" + text.replace(" ", "▁") if text else ""))
+            assert abs(sum(model.scores[i] for i in spelled) + others * model.floor - score) < 1e-6
 
 
 def test_pieces_of_a_long_text_and_a_table(spark):
@@ -235,7 +241,12 @@ def test_pieces_of_a_long_text_and_a_table(spark):
     out = sentencepiece_nbest.encode(table, PIECES, n=3, keep=("doc_id", "ids"))
     rows = {r.doc_id: r for r in out.collect()}
     assert all(r.round_trip and r.ids == "mine" for r in rows.values()) and len(rows[2].nbest_scores) == 3
-    assert (rows[0].n_pieces, rows[1].n_pieces, rows[0].nbest_scores) == (0, 0, [0.0])
+    assert (rows[0].n_pieces, rows[1].n_pieces, rows[0].nbest_scores, rows[0].nbest_ids) == (0, 0, [0.0], [[]])
+    assert [len(x) for x in rows[2].nbest_ids] == rows[2].nbest_pieces and rows[2].nbest_ids[0] == rows[2].ids_
+    further = out.select("doc_id", F.explode("nbest_ids").alias("ids"))
+    assert {(r.doc_id, r.text) for r in sentencepiece_nbest.decode(further, PIECES).collect()} == {(0, ""), (1, ""), (2, long), (3, "a b")}
+    digests = sentencepiece_nbest.encode(table, PIECES, n=3, ids="digest", keep=("doc_id",)).where("doc_id = 2").first()
+    assert digests.nbest_sha256 == [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in rows[2].nbest_ids]
     back = sentencepiece_nbest.decode(out.select("doc_id", F.col("ids_").alias("ids")), PIECES)
     assert {r.doc_id: r.text for r in back.collect()} == {0: "", 1: "", 2: long, 3: "a b"}
     assert sentencepiece_nbest.encode(table.where("false"), PIECES).collect() == []

@@ -1,3 +1,4 @@
+import re
 import base64
 import hashlib
 import random
@@ -84,9 +85,12 @@ def test_near_vectors_of_small_tables(spark):
     assert [tuple(r) for r in embedding_dedup.near_vectors(empty).collect()] == [(1, 0, 1, True)]
 
 
-def test_top_vectors_by_definition(spark, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD", 40)
+@pytest.mark.parametrize("block, batch", [(256, 16), (2, 2)])
+def test_top_vectors_by_definition(spark, monkeypatch, block, batch):
+    monkeypatch.setattr(maxscore, "SHARD", 20)
     monkeypatch.setattr(maxscore, "TURN", 2)
+    monkeypatch.setattr(maxscore, "BLOCK", block)
+    monkeypatch.setattr(maxscore, "BATCH", batch)
     rng = np.random.default_rng(2)
     x = np.float32(rng.normal(size=(400, 12)) * rng.choice([0.1, 1], size=(400, 1)))
     x[50:60] = x[0]
@@ -100,6 +104,27 @@ def test_top_vectors_by_definition(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_top_vectors_of_large_components(spark):
+    """Products beyond 2^53 and cells beyond 32 bits are exact; a score beyond 64 bits is an error."""
+    asks = F.col("vec_id") % 50 == 0
+    rows = [(50, [1.0, 0.0, 3.0]), (51, [1e7, 0.0, -1.0]), (52, [-1e7, 5.0, 0.0]), (53, [1e7, 0.0, -1.0 + 1 / 256]), (100, [1e7, 1e7, 1.0])]
+    cells = {i: [int(np.floor(256 * v)) for v in x] for i, x in rows}
+    want = []
+    for q in (50, 100):
+        best = sorted((-sum(a * b for a, b in zip(cells[q], c)), i) for i, c in cells.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in maxscore.search(vectors(spark, rows), asks).collect()) == want
+    with pytest.raises(Exception, match="OverflowError|too large|out of bounds|too big"):
+        maxscore.search(vectors(spark, [(50, [1e15]), (51, [1e15])]), asks).collect()
+
+
+def test_top_vectors_of_repeated_ids_and_clashing_columns(spark):
+    asks = F.col("vec_id") % 50 == 0
+    table = vectors(spark, [(50, [1.0]), (50, [1.0]), (51, [2.0]), (51, [2.0])]).withColumns({c: F.lit("mine") for c in ("id", "rank", "turn", "score")})
+    found = [tuple(r) for r in maxscore.search(table, asks).collect()]
+    assert {r[:3] for r in found} == {(50, 1, 51), (50, 2, 51)} or {r[:3] for r in found} == {(50, 1, 51)}
+
+
 def test_top_vectors_of_small_tables(spark):
     one = vectors(spark, [(50, [1.0])])
     asks = F.col("vec_id") % 50 == 0
@@ -207,6 +232,42 @@ def test_article_text(trees):
     assert html_extract.extracted([page(k)], trees) == [want]
 
 
+def test_self_closed_elements_hide_nothing(trees):
+    k = 9000
+    want = f"Title {k}\n{prose(k + 2, 30)}.\n{prose(k + 3, 60)} & é. x"
+    for icon in ('<svg class="i" />', "<iframe src='x'/>", "<object/>", "<svg><path d='M0'/></svg>"):
+        assert html_extract.extracted([page(k).replace("<article>", f"<article>{icon}")], trees) == [want]
+
+
+def bare(k, paragraphs):
+    """A page that names none of its parts."""
+    return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", page(k, paragraphs)).replace('class="ad"', 'class="x1"')
+
+
+def test_held_out_pages_without_names(trees):
+    """Neither tags nor class names say what the article is: structure has to."""
+    hits = []
+    for k in range(20_000, 24_000, 100):
+        more = [f"{prose(k + 50 + j, 10 + 17 * j)}." for j in range(k // 100 % 7)]
+        want = [f"Title {k}", *more, f"{prose(k + 2, 30)}.", f"{prose(k + 3, 60)} & é. x"]
+        got = html_extract.extracted([bare(k, 1 + k // 100 % 7)], trees)[0].split("\n")
+        hits.append(2 * len(set(got) & set(want)) / (len(set(got)) + len(set(want))))
+    assert np.mean(hits) > 0.8
+
+
+def test_tables_in_which_no_page_names_its_article(spark):
+    table = spark.createDataFrame([(k, "u", bare(100 * k, 2 + k % 5)) for k in range(60)], PAGES)
+    found = {r.page_id: r.text for r in html_extract.main_text(table).collect()}
+    assert sum(prose(100 * k + 3, 60) in found[k] for k in range(60)) > 50
+
+
+def test_training_pages_come_by_their_ids(spark):
+    table = spark.createDataFrame([(k % 40, "u", page(100 * (k % 40))) for k in range(120)] + [(None, None, page(7))], PAGES)
+    some = html_extract.chosen(table, 15, "page_id")
+    assert len(some) == 15 and len(set(some)) == 15 and set(some) <= {(k, page(100 * k)) for k in range(40)} | {(None, page(7))}
+    assert len(html_extract.chosen(table, 100, "page_id")) == 41
+
+
 def test_parts_that_are_not_the_article(trees):
     body = "".join(f"<p>{prose(k, 50)}.</p>" for k in range(5))
     html = (f'<body><header><p>My site</p></header><div class="cookie-notice"><p>We use cookies, and more words here.</p></div><article><h1>Head</h1>{body}</article>'
