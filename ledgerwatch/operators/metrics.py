@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .prefix import Running, add_segments, running
 
@@ -14,61 +18,128 @@ def label_distribution(df: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(share, 4))
 
 
-def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 4096, small: int = 20_000) -> list[float]:
-    """Exact values at the given 1-based ranks of ``column``, without a global sort.
+SKETCH = 4096  # size of a quantile sketch: ranks are off by about a thousandth of the rows
+MARGIN = 2.0  # times the sketch's usual error
+
+
+def order_statistics(
+    df: DataFrame, column: str, ranks: list[int] | Callable[[int], list[int]], k: int = SKETCH, small: int = 20_000
+) -> list[float]:
+    """Exact values at the given 1-based ranks of ``column``, or at those that a function gives for the number of rows.
 
-    Each pass counts the rows of at most ``bins`` value ranges, reduced on the map side, and keeps
-    the range the rank falls into. At most ``bins`` counts or ``small`` rows reach the driver.
+    One pass takes a mergeable quantile sketch, which brackets all ranks at once; a second one counts what lies between the brackets
+    and each value within them. Only if more than ``small`` different values lie within, further sketches narrow the brackets first:
+    each leaves a few thousandths of the rows. A rank outside its bracket, which the counts would tell, is looked for in the gap.
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    return [_one_statistic(values, rank, bins, small) for rank in ranks]
-
-
-def _one_statistic(values: DataFrame, rank: int, bins: int, small: int):
-    low, high, rows = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if not 1 <= rank <= rows:
-        raise ValueError(f"rank {rank} of {rows} rows")
-    while low != high:
-        inside = values.where(F.col("v").between(low, high))
-        if rows <= small:
-            return sorted(r["v"] for r in inside.collect())[rank - 1]
-        if isinstance(low, int):  # hash values fill the whole range of a bigint: decimals hold every difference
-            place = (F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) * F.lit(bins)
-            bin_of = F.floor(place / F.lit(str(high - low + 1)).cast("decimal(20,0)")).cast("int")
+    integral = isinstance(df.schema[column].dataType, (T.IntegralType,))
+    kind = "bigint" if integral else "double"
+    v = F.col("v")
+    values = df.select(F.col(column).cast(kind).alias("v")).where(v.isNotNull())
+    sketch = getattr(F, f"kll_sketch_agg_{kind}")
+    real = F.lit(True) if integral else ~F.isnan(v)
+    known = F.when(real, v)
+    rows, numbers, low, high, data = _scan(values.agg(F.count("*"), F.count(known), F.min(known), F.max(known), sketch(known, k)))[0]
+    wanted = ranks(rows) if callable(ranks) else ranks
+    for rank in wanted:
+        if not 1 <= rank <= rows:
+            raise ValueError(f"rank {rank} of {rows} rows")
+    found: dict[int, float] = {r: math.nan for r in wanted if r > numbers}  # NaN is larger than any number
+    values = values.where(real)
+    todo = _brackets(df.sparkSession, {r: (low, high, 0, numbers, data) for r in wanted if r <= numbers}, kind, k)
+    while todo:
+        edges = _joined(todo.values())
+        segment = F.lit(2 * len(edges))
+        for j, (lo, hi) in reversed(list(enumerate(edges))):
+            segment = F.when(v < F.lit(lo), 2 * j).when(v <= F.lit(hi), 2 * j + 1).otherwise(segment)
+        counts = values.select(segment.alias("s"), "v").groupBy("s", F.when(F.col("s") % 2 == 1, v).alias("v")).count()
+        most = max(small, 16) + len(edges) + 1
+        held = _scan(counts.limit(most + 1))
+        if len(held) > most:
+            todo = _narrower(values, todo, edges, (low, high), kind, k)
+            continue
+        before, at = 0, {}
+        for row in sorted(held, key=lambda r: (r["s"], r["v"] is not None, r["v"] if r["v"] is not None else 0)):
+            for rank in todo:
+                if before < rank <= before + row["count"]:
+                    at[rank] = row["s"], row["v"]
+            before += row["count"]
+        found |= {r: value for r, (s, value) in at.items() if s % 2}
+        todo = {r: (edges[s // 2 - 1][1] if s else low, edges[s // 2][0] if s // 2 < len(edges) else high) for r, (s, _) in at.items() if not s % 2}
+    return [found[r] for r in wanted]
+
+
+def _scan(df: DataFrame) -> list:
+    """Rows of a pass over the data; a bounded number."""
+    return df.collect()
+
+
+def _brackets(spark: SparkSession, ranks: dict[int, tuple], kind: str, k: int) -> dict[int, tuple]:
+    """Values around every rank, from (low, high, rows before, rows, sketch of them)."""
+    off = MARGIN * 2.296 / k**0.9021  # the published error of this sketch, as a share of the rows
+    quantile = getattr(F, f"kll_sketch_get_quantile_{kind}")
+    out, asked = {}, {}
+    for rank, (low, high, before, rows, data) in ranks.items():
+        place = (rank - before) / rows
+        asked[rank] = quantile(F.lit(bytes(data)), F.array(F.lit(max(0.0, place - off - 1 / rows)), F.lit(min(1.0, place + off))))
+        out[rank] = low, high, place - off - 1 / rows <= 0, place + off >= 1
+    if not asked:
+        return {}
+    found = spark.range(1).select(*[c.alias(f"r{i}") for i, c in enumerate(asked.values())]).first()
+    return {r: (out[r][0] if out[r][2] else pair[0], out[r][1] if out[r][3] else pair[1]) for r, pair in zip(asked, found)}
+
+
+def _joined(brackets) -> list[tuple]:
+    """Brackets in order, overlapping ones as one."""
+    edges: list[tuple] = []
+    for lo, hi in sorted(brackets):
+        if edges and lo <= edges[-1][1]:
+            edges[-1] = edges[-1][0], max(edges[-1][1], hi)
         else:
-            width = (high - low) / bins
-            bin_of = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-        counts = inside.groupBy(bin_of.alias("b")).agg(
-            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-        )
-        for row in counts.orderBy("b").collect():
-            if rank <= row["n"]:
-                break
-            rank -= row["n"]
-        low, high, rows = row["low"], row["high"], row["n"]
-    return low
+            edges.append((lo, hi))
+    return edges
+
+
+def _narrower(values: DataFrame, todo: dict[int, tuple], edges: list[tuple], ends: tuple, kind: str, k: int) -> dict[int, tuple]:
+    """Brackets from sketches of what lies within the present ones."""
+    v, sketch = F.col("v"), getattr(F, f"kll_sketch_agg_{kind}")
+    aggregates = []
+    for lo, hi in edges:
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        aggregates += [F.count_if(v < F.lit(lo)), F.count_if(inside), sketch(F.when(inside, v), k)]
+    found = _scan(values.agg(*aggregates))[0]
+    out, known = {}, {}
+    for rank, (low, _) in todo.items():
+        j = next(i for i, (lo, hi) in enumerate(edges) if lo <= low <= hi)
+        before, rows, data = found[3 * j : 3 * j + 3]
+        if before < rank <= before + rows:
+            known[rank] = (*edges[j], before, rows, data)
+        else:
+            out[rank] = (ends[0], edges[j][0]) if rank <= before else (edges[j][1], ends[1])
+    return out | _brackets(values.sparkSession, known, kind, k)
 
 
 def percentile(df: DataFrame, column: str, fraction: float) -> float:
-    """Exact percentile with linear interpolation between neighbouring ranks."""
-    n = df.where(F.col(column).isNotNull()).count()
-    place = fraction * (n - 1)
-    below = int(place)
-    ranks = [below + 1, min(below + 2, n)]
+    """Exact percentile with linear interpolation between neighbouring ranks, in two passes."""
+    place = lambda n: fraction * (n - 1)
+    rows = []
+
+    def ranks(n: int) -> list[int]:
+        rows.append(n)
+        return [int(place(n)) + 1, min(int(place(n)) + 2, n)]
+
     a, b = order_statistics(df, column, ranks)
-    return a + (b - a) * (place - below)
+    return a + (b - a) * (place(rows[0]) - int(place(rows[0])))
 
 
 def temporal_split(df: DataFrame, fraction: float = 0.75, column: str = "arrival_seq") -> DataFrame:
     """Add ``split``: the first part of the rows by arrival is train, the rest test.
 
-    The cut is found by counting, then applied as a filter: no row is sorted or moved.
+    The cut is found in two passes, then applied as a filter: no row is sorted or moved.
     """
-    cut = int(df.count() * fraction)
-    if cut == 0:
+    last = order_statistics(df, column, lambda n: [int(n * fraction)] if int(n * fraction) else [])
+    if not last:
         return df.withColumn("split", F.lit("test"))
-    (last,) = order_statistics(df, column, [cut])
-    return df.withColumn("split", F.when(F.col(column) <= F.lit(last), "train").otherwise("test"))
+    return df.withColumn("split", F.when(F.col(column) <= F.lit(last[0]), "train").otherwise("test"))
 
 
 def node_split(accounts: DataFrame, fraction: float = 0.75) -> DataFrame:

@@ -48,7 +48,7 @@ def test_order_statistics(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     ordered = sorted(values)
     ranks = [1, 2, 700, 1500, 2999, 3000]
-    assert M.order_statistics(df, "v", ranks, bins=7, small=3) == [ordered[r - 1] for r in ranks]
+    assert M.order_statistics(df, "v", ranks, k=200, small=3) == [ordered[r - 1] for r in ranks]
     assert math.isclose(M.percentile(df, "v", 0.975), np.percentile(values, 97.5), rel_tol=1e-12)
 
 
@@ -176,3 +176,35 @@ def test_feature_profile_of_odd_values(spark):
     rows = [("a", 1.0), ("a", float("nan")), ("b", float("inf")), ("c", 2.0), ("c", None), ("d", 1e300)]
     found = A.feature_profile(spark.createDataFrame(rows, "account_id string, x double"), ["x"]).first()
     assert (found.nan_values, found.inf_values, found.distinct_values) == (1, 1, 4)
+
+
+def test_two_passes_for_any_number_of_ranks(spark, monkeypatch):
+    passes, scan = [], M._scan
+    monkeypatch.setattr(M, "_scan", lambda df: passes.append(1) or scan(df))
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.25), [np.inf, -np.inf]])
+    rng.shuffle(values)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
+    ranks = [1, 2, 777, 30_000, 45_000, 45_001, 60_001, 60_002]
+    ordered = np.sort(values)
+    assert M.order_statistics(df, "v", ranks) == [ordered[r - 1] for r in ranks] and len(passes) == 2
+    passes.clear()
+    assert math.isclose(M.percentile(df, "v", 0.9), np.percentile(values, 90), rel_tol=1e-12) and len(passes) == 2
+    passes.clear()
+    split = M.temporal_split(df, 0.5, "v")
+    assert len(passes) == 2 and split.where("split = 'train'").count() == int((values <= ordered[30_000]).sum())
+
+
+def test_order_statistics_when_the_sketch_is_wrong(spark, monkeypatch):
+    """Brackets in the wrong place cost passes, not results; so do many values within them."""
+    values = [((i * 7919) % 5000) - 2500 for i in range(5000)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    wanted = {1: -2500, 2500: -1, 5000: 2499}
+    assert M.order_statistics(df, "v", list(wanted), k=200, small=0) == list(wanted.values())
+    monkeypatch.setattr(M, "_brackets", lambda spark, ranks, kind, k: {r: (2000, 2010) for r in ranks})
+    assert M.order_statistics(df, "v", list(wanted), small=20_000) == list(wanted.values())
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert math.isnan(M.order_statistics(nan, "v", [3])[0]) and M.order_statistics(nan, "v", [2]) == [2.0]
+    with pytest.raises(ValueError):
+        M.order_statistics(nan, "v", [4])
+    assert M.order_statistics(nan.where("false"), "v", lambda n: []) == []
