@@ -37,7 +37,7 @@ GAP[[0x20, 0x09]] = True
 SIDE = 8  # bits of a tile's side
 CORNER = 8  # tiles, along each side, that may be counted by direct address
 CROWDED = 16  # cells per occurrence, at most, of such a tile
-CHUNK = 16 << 20  # bytes of text
+CHUNK = 12 << 20  # bytes of text
 PAIRS = 4 << 20  # pairs of words per bucket
 MOST = (1 << 31) - 1  # ids
 
@@ -46,7 +46,8 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Numbers of all words in order with -1 where a piece or text ends, the distinct words, and their counts."""
     flat, offsets = buffer_of(pc.binary_join_element_wise(whole(texts), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())))
     solid = ~(BREAK | GAP)[flat]
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    outside = np.zeros(1, np.int8)
+    edge = np.diff(np.concatenate([outside, solid.view(np.int8), outside]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64)
@@ -56,7 +57,7 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     order = np.argsort(-counts, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    ends = np.cumsum(BREAK[flat], dtype=np.int64)[start]  # every text ends in a break
+    ends = np.searchsorted(np.flatnonzero(BREAK[flat]), start)  # every text ends in a break
     new = np.flatnonzero(np.diff(ends)) + 1
     return np.insert(place[code], new, -1), found.dictionary.take(pa.array(order)), counts[order]
 
