@@ -437,6 +437,18 @@ def alert_history(spark, sf):
 
 
 def case_report(spark, sf):
+    return report_view(reports_of(spark, sf))
+
+
+def report_files(spark, sf):
+    """The reports as JSON files in a folder per customer, read back."""
+    path = scratch_path(spark, "reports")
+    reports = reports_of(spark, sf)
+    sinks.write_reports(reports, path)
+    return report_view(sinks.read_reports(spark, path, reports.schema))
+
+
+def reports_of(spark, sf):
     """A report for every high alert; the narrative of an alert is a document."""
     scored = scored_table(spark, sf)
     high = SC.high_alerts(scored)
@@ -446,7 +458,10 @@ def case_report(spark, sf):
         "transaction_id", F.col("text").alias("risk_assessment"), F.lit("pattern").alias("pattern_analysis"),
         F.lit("cross").alias("cross_account_analysis"), F.lit("draft").alias("str_draft"),
     )
-    reports = E.case_report(high, transactions(spark, sf), chosen)
+    return E.case_report(high, transactions(spark, sf), chosen)
+
+
+def report_view(reports):
     return rounded(reports.select(
         "transaction_id", "customer_id", "account_id", "alert.risk_score", "alert.risk_tier",
         F.array_join("all_accounts", ",").alias("all_accounts"), F.length("history").alias("history_length"),
@@ -469,6 +484,14 @@ def standard_scale(spark, sf):
     return rounded(split.select("transaction_id", *scaler.expressions()))
 
 
+def scaler_reload(spark, sf):
+    """The same by a scaler that was saved to the shared folder and read back."""
+    split = M.temporal_split(cut_lineage(feature_table(spark, sf)))
+    path = scratch_path(spark, "scaler")
+    Scaler.fit(split.where("split = 'train'"), S.FEATURE_COLUMNS).save(spark, path)
+    return rounded(split.select("transaction_id", *Scaler.load(spark, path).expressions()))
+
+
 def smote_neighbors(spark, sf):
     found = MD.neighbour_table(training_set(spark, sf).train.where("label = 1"))
     return rounded(found.select(F.col("id").alias("transaction_id"), "place", "distance"))
@@ -476,7 +499,7 @@ def smote_neighbors(spark, sf):
 
 def smote(spark, sf):
     balanced = MD.oversample(training_set(spark, sf))
-    return balanced.select("id", "label", F.element_at("x", 1).alias("amount_scaled"))
+    return rounded(balanced.select("id", "label", F.element_at("x", 1).alias("amount_scaled")))
 
 
 def isolation_forest(spark, sf):
@@ -499,7 +522,7 @@ def gnn_scores(spark, sf):
 
 
 def sage_forward(spark, sf):
-    return GM.sage_forward(GM.scaled_nodes(account_table(spark, sf)), GM.random_weights())
+    return rounded(GM.sage_forward(GM.scaled_nodes(account_table(spark, sf)), GM.random_weights()))
 
 
 def score_end_to_end(spark, sf):
@@ -616,8 +639,8 @@ def catalog() -> dict[str, Query]:
         "average_precision", "anomaly_threshold", "temporal_split", "node_split", "class_weights",
         "rule_registry", "score_fusion", "alerts", "alert_regulatory_lookup", "alert_summary", "top_alert",
         "high_alert_candidates", "customer_snapshot",
-        "recent_history", "history_summary", "account_breakdown", "alert_history", "case_report",
-        "standard_scale", "smote_neighbors", "smote", "isolation_forest", "random_forest", "feature_importance",
+        "recent_history", "history_summary", "account_breakdown", "alert_history", "case_report", "report_files",
+        "standard_scale", "scaler_reload", "smote_neighbors", "smote", "isolation_forest", "random_forest", "feature_importance",
         "gnn_scores", "sage_forward", "score_end_to_end", "stream_flagged", "stream_features", "stream_snapshot",
         "stream_counters", "stream_rejected",
     ]

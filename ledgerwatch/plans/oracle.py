@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import schema as S
 from ..operators.accounts import ACCOUNT_COLUMNS
+from ..operators.graph_model import random_weights
 from . import rules as R
 from .catalog import FEATURE_GROUPS, NEIGHBOR_COLUMNS, PROFILED, RULE_KEYS
 from .registry import MODEL_ONLY, REGISTRY
@@ -300,6 +301,36 @@ RATIOS = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(c
 Y = ", y AS (SELECT is_suspicious AS y, risk_score >= 60 AS p, risk_score, account_tier FROM f)"
 
 
+HASH = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+
+SMOTE = f""", tr AS (SELECT transaction_id AS id, is_suspicious AS label, [{', '.join(S.FEATURE_COLUMNS)}]::DOUBLE[] AS v FROM scaled WHERE train),
+pos AS (SELECT * FROM tr WHERE label = 1), sizes AS (SELECT count(*) FILTER (label = 0) AS normal, count(*) FILTER (label = 1) AS positives FROM tr),
+partners AS (SELECT a.id, b.v AS nv, positives, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS place FROM pos a JOIN pos b ON a.id <> b.id, sizes),
+near AS (SELECT id, list(nv[1] ORDER BY place) AS firsts FROM partners WHERE place <= least(5, positives - 1) GROUP BY id),
+turns AS (SELECT id, v, row_number() OVER (ORDER BY {HASH.format("'42|' || id")}) AS turn FROM pos),
+copies AS (SELECT id, v, unnest(range(1, (normal - positives) // positives + CASE WHEN turn <= (normal - positives) % positives THEN 1 ELSE 0 END + 1)) AS c
+  FROM turns, sizes WHERE normal > positives AND positives > 1),
+made AS (SELECT id, c, v[1] AS x, firsts[CAST(floor({HASH.format("'neighbour|' || id || '|' || c")} / 4503599627370496.0 * len(firsts)) AS BIGINT) + 1] AS y,
+  {HASH.format("'step|' || id || '|' || c")} / 4503599627370496.0 AS step FROM copies JOIN near USING (id))
+SELECT id, label, round(v[1], 6) AS amount_scaled FROM tr UNION ALL SELECT id || '~' || c, 1, round(x + step * (y - x), 6) FROM made"""
+
+
+def sage_forward_sql() -> str:
+    """Both layers and the softmax with the weights as lists."""
+    listed = lambda m: "[" + ", ".join(listed(v) if getattr(v, "ndim", 0) else repr(float(v)) for v in m) + "]"
+    layers, (w3, b3) = random_weights()[:-1], random_weights()[-1]
+    sql = f""", sx AS (SELECT account_id, [{', '.join(f'(({c} - m_{c}) / s_{c})::DOUBLE' for c in ACCOUNT_COLUMNS)}] AS x FROM acc CROSS JOIN
+      (SELECT {', '.join(f'avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}' for c in ACCOUNT_COLUMNS)} FROM acc)), h0 AS (SELECT * FROM sx)"""
+    for k, (near, own, bias) in enumerate(layers):
+        inputs, width = near.shape
+        sql += f""", w{k} AS (SELECT {listed(near.T)}::DOUBLE[][] AS a, {listed(own.T)}::DOUBLE[][] AS b, {listed(bias)}::DOUBLE[] AS c),
+          n{k} AS (SELECT src AS account_id, [{', '.join(f'avg(x[{i + 1}])' for i in range(inputs))}] AS near FROM edges JOIN h{k} ON account_id = dst GROUP BY src),
+          h{k + 1} AS (SELECT account_id, list_transform(range(1, {width + 1}), lambda i: greatest(0.0, list_dot_product(near, a[i]) + list_dot_product(x, b[i]) + c[i])) AS x
+            FROM n{k} JOIN h{k} USING (account_id), w{k})"""
+    difference = f"list_dot_product(x, {listed((w3[:, 0] - w3[:, 1]))}::DOUBLE[]) + {float(b3[0] - b3[1])!r}"
+    return sql + f" SELECT account_id, round(1 / (1 + exp({difference})), 6) AS gnn_score FROM h{len(layers)}"
+
+
 def oracles() -> dict[str, str]:
     txn = f"WITH {TXN} "
     fused = f"WITH {TXN}{FUSED} "
@@ -442,6 +473,9 @@ def oracles() -> dict[str, str]:
             FROM f JOIN a USING (customer_id) JOIN history USING (customer_id) CROSS JOIN d JOIN verdicts v ON v.doc_id % d.n = f.arrival_seq % d.n
             WHERE risk_tier = 'HIGH'""",
         "standard_scale": feat.rstrip() + SCALED + " SELECT transaction_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in S.FEATURE_COLUMNS) + " FROM scaled",
+        "scaler_reload": feat.rstrip() + SCALED + " SELECT transaction_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in S.FEATURE_COLUMNS) + " FROM scaled",
+        "smote": feat.rstrip() + SCALED + SMOTE,
+        "sage_forward": edges.rstrip() + sage_forward_sql(),
         "smote_neighbors": feat.rstrip() + SCALED + f""", x AS (SELECT transaction_id, [{', '.join(S.FEATURE_COLUMNS)}]::DOUBLE[] AS v FROM scaled WHERE train AND is_suspicious = 1),
             d AS (SELECT a.transaction_id, list_distance(a.v, b.v) AS distance FROM x a JOIN x b ON a.transaction_id <> b.transaction_id),
             p AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY distance) AS place FROM d)
@@ -455,4 +489,5 @@ def oracles() -> dict[str, str]:
         queries[key] = f"WITH {TXN} {rule_sql(name, WIDE, PREDICATES)}"
     for key, columns in FEATURE_GROUPS.items():
         queries[key] = feat + f"SELECT transaction_id, {six(columns)} FROM feat"
+    queries["report_files"] = queries["case_report"]
     return queries

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scoring import high_alerts, stored_alerts, with_defaults
 from .keyed import KeyedTable
@@ -77,3 +78,8 @@ def publish(messages: DataFrame, servers: str, checkpoint: str | None = None):
 def write_reports(reports: DataFrame, path: str) -> None:
     """One JSON document per case, in a folder per customer."""
     reports.withColumn("investigated_at", F.current_timestamp()).write.mode("append").partitionBy("customer_id").json(path)
+
+
+def read_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stored reports; ``schema`` is that of the reports that were written."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("investigated_at", T.TimestampType())])).json(path)

@@ -3,6 +3,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from builders import frame, random_rows, txn
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ledgerwatch.operators import isolation_forest as IF
 from ledgerwatch.operators import metrics as M
 from ledgerwatch.operators import models as MD
 from ledgerwatch.operators import snapshots as SN
+from ledgerwatch.operators import neighbours as NN
 from ledgerwatch.operators.neighbours import nearest
 from ledgerwatch.operators.scaling import Scaler
 from ledgerwatch.plans import catalog as catalog_module
@@ -78,7 +80,7 @@ def test_scaler(spark):
     assert [tuple(r) for r in df.select(*scaler.expressions()).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-@pytest.mark.parametrize("sizes", [dict(), dict(pivots=5, rows_per_chunk=20, rows_per_block=15)], ids=["one chunk", "many"])
+@pytest.mark.parametrize("sizes", [dict(), dict(leaf=20, rows_per_block=15)], ids=["one cell", "many"])
 def test_nearest_equals_brute_force(spark, sizes):
     rng = np.random.default_rng(3)
     data = np.vstack([rng.normal(c, 1, (50, 4)) for c in (0, 5, 9)] + [np.full((60, 4), 2.5)])  # a third are copies
@@ -208,3 +210,20 @@ def test_order_statistics_when_the_sketch_is_wrong(spark, monkeypatch):
     with pytest.raises(ValueError):
         M.order_statistics(nan, "v", [4])
     assert M.order_statistics(nan.where("false"), "v", lambda n: []) == []
+
+
+def test_visits_stay_bounded_as_clusters_grow_in_number(spark, monkeypatch):
+    """35 dimensions, clusters of 100 points: a point visits as many cells among 2,000 points as among 16,000."""
+    monkeypatch.setattr(NN, "FAN", 16)  # several levels of boxes
+    rng = np.random.default_rng(4)
+    per_point = []
+    for n in (2_000, 16_000):
+        centres = rng.uniform(-100, 100, (n // 100, 35))
+        data = np.repeat(centres, 100, axis=0) + rng.normal(size=(n, 35))
+        points = spark.createDataFrame(pa.table({"id": [f"p{i}" for i in range(n)], "x": data.tolist()}))
+        cells = NN.partition(points, 128)
+        sizes = [r["count"] for r in cells.groupBy("cell").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 128
+        reach = points.select("id", F.lit(12.0).alias("reach"))  # about the fifth neighbour's distance within a cluster
+        per_point.append(NN.visits(cells, reach, 35).count() / n)
+    assert per_point[1] < 1.5 * max(per_point[0], 0.5) and max(per_point) < 4
