@@ -28,7 +28,7 @@ def members(accounts: DataFrame, coordinated: bool = True) -> DataFrame:
     )
 
 
-def _group_totals(nodes: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def group_totals(nodes: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Node rows with totals of the customer group, the tier group and their intersection."""
     cells = nodes.groupBy("customer_group", "tier_group").agg(
         F.count("*").alias("_n"), *[F.sum(c).alias(name) for name, c in sums.items()]
@@ -46,7 +46,7 @@ def _group_totals(nodes: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return joined.join(both, ["customer_group", "tier_group"], "left")
 
 
-def _united(name: str) -> Column:
+def united(name: str) -> Column:
     """Total over the union of both groups, the node itself included once."""
     optional = lambda prefix: F.coalesce(F.col(f"{prefix}{name}"), F.lit(0))
     return F.col(f"c{name}") + optional("t") - optional("b")
@@ -54,13 +54,13 @@ def _united(name: str) -> Column:
 
 def degrees(nodes: DataFrame) -> DataFrame:
     """Neighbours per account: by customer, by tier, by either, and edges with the self-loop."""
-    t = _group_totals(nodes, {})
+    t = group_totals(nodes, {})
     return t.select(
         "account_id", "customer_group", "tier_group",
         (F.col("c_n") - 1).alias("customer_neighbours"),
         F.coalesce(F.col("t_n") - 1, F.lit(0)).alias("tier_neighbours"),
-        (_united("_n") - 1).alias("neighbours"),
-        _united("_n").alias("edges_out"),
+        (united("_n") - 1).alias("neighbours"),
+        united("_n").alias("edges_out"),
     )
 
 
@@ -90,6 +90,6 @@ def graph_stats(nodes: DataFrame, columns: list[str]) -> DataFrame:
 
 def neighbor_mean(nodes: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:
     """Mean of each column over the neighbours and, by the self-loop, the node itself."""
-    t = _group_totals(nodes, {f"_{c}": F.col(c) for c in columns})
-    n = _united("_n")
-    return t.select(*nodes.columns, *[(_united(f"_{c}") / n).alias(f"mean_{c}{suffix}") for c in columns])
+    t = group_totals(nodes, {f"_{c}": F.col(c) for c in columns})
+    n = united("_n")
+    return t.select(*nodes.columns, *[(united(f"_{c}") / n).alias(f"mean_{c}{suffix}") for c in columns])

@@ -1,18 +1,18 @@
-"""Graph scores of accounts: two rounds of neighbour averaging and dense layers."""
+"""Graph scores of accounts: two layers of neighbour averaging, trained over the whole graph."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or
 from ..session import cut_lineage
+from . import sage_training as training
 from .accounts import ACCOUNT_COLUMNS
 from .graph import members, neighbor_mean
 from .metrics import class_weights, node_split
@@ -47,23 +47,24 @@ def random_weights(seed: int = 42, inputs: int = len(ACCOUNT_COLUMNS)) -> list[t
     ]
 
 
-def sage_forward(nodes: DataFrame, weights: list[tuple]) -> DataFrame:
+def sage_forward(nodes: DataFrame, weights: list[tuple], kept: list[str] | None = None) -> DataFrame:
     """Mean-aggregating GraphSAGE (Hamilton et al. 2017): per layer
     relu(W1 mean(neighbours and self) + W2 own + b), then a softmax. Neighbour means are group
     totals; only the dense algebra runs in Python, on fixed-size weights."""
     spark = nodes.sparkSession
     columns = ACCOUNT_COLUMNS
-    current = nodes.select(*KEYS, *columns)
+    keys = [*KEYS, *(kept or [])]
+    current = nodes.select(*keys, *columns)
     for depth, layer in enumerate(weights[:-1]):
         shared = spark.sparkContext.broadcast(layer)
         width = layer[0].shape[1]
         current = neighbor_mean(current, columns).select(
-            *KEYS, F.array(*[f"mean_{c}" for c in columns]).alias("near"), F.array(*columns).alias("own")
+            *keys, F.array(*[f"mean_{c}" for c in columns]).alias("near"), F.array(*columns).alias("own")
         )
         dense = _dense(shared)
-        current = cut_lineage(current.select(*KEYS, dense("near", "own").alias("h")))
+        current = cut_lineage(current.select(*keys, dense("near", "own").alias("h")))
         columns = [f"h{depth}_{i}" for i in range(width)]
-        current = current.select(*KEYS, *[F.col("h")[i].alias(c) for i, c in enumerate(columns)])
+        current = current.select(*keys, *[F.col("h")[i].alias(c) for i, c in enumerate(columns)])
     last = spark.sparkContext.broadcast(weights[-1])
 
     @F.pandas_udf("double")
@@ -73,7 +74,7 @@ def sage_forward(nodes: DataFrame, weights: list[tuple]) -> DataFrame:
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return pd.Series(out[:, 1] / out.sum(axis=1))
 
-    return current.select("account_id", finite_or(softmax(F.array(*columns)), 0.5).alias("gnn_score"))
+    return current.select("account_id", *(kept or []), finite_or(softmax(F.array(*columns)), 0.5).alias("gnn_score"))
 
 
 def _dense(shared):
@@ -86,66 +87,44 @@ def _dense(shared):
     return dense
 
 
-def hops(nodes: DataFrame, *kept: str) -> DataFrame:
-    """x, its neighbour mean and the neighbour mean of that, side by side (Frasca et al. 2020)."""
-    once = neighbor_mean(nodes, ACCOUNT_COLUMNS)
-    near = [f"mean_{c}" for c in ACCOUNT_COLUMNS]
-    once = cut_lineage(once)
-    twice = neighbor_mean(once, near)
-    far = [f"mean_{c}" for c in near]
-    return twice.select("account_id", *kept, F.array(*ACCOUNT_COLUMNS, *near, *far).alias("x"))
-
-
 @dataclass(frozen=True)
 class GraphModel:
-    """A trained perceptron over hops, with the scaler of its training accounts."""
+    """Trained weights of both layers and the classifier, with the scaler of the training accounts."""
 
     scaler: Scaler
-    perceptron: MultilayerPerceptronClassificationModel
+    weights: list[tuple]
 
-    def probabilities(self, wide: DataFrame) -> DataFrame:
-        scored = self.perceptron.transform(wide.withColumn("features", array_to_vector("x")))
-        kept = [c for c in ("account_id", "label", "split") if c in wide.columns]
-        return scored.select(*kept, finite_or(vector_to_array("probability")[1], 0.5).alias("gnn_score"))
+    def probabilities(self, nodes: DataFrame) -> DataFrame:
+        return sage_forward(nodes, self.weights, [c for c in ("label", "split") if c in nodes.columns])
 
     def serve(self, accounts: DataFrame) -> DataFrame:
         """Scores of accounts with the serving vector: neighbours are the customer's own accounts only. Accounts
         that are not among these get the neutral score where scores are joined."""
-        nodes = scaled(cut_lineage(members(accounts, coordinated=False)), self.scaler)
-        return self.probabilities(hops(nodes))
+        return self.probabilities(scaled(cut_lineage(members(accounts, coordinated=False)), self.scaler))
 
-    def save(self, path: str) -> None:
-        self.perceptron.write().overwrite().save(f"{path}/perceptron")
-        spark = SparkSession.active()
-        spark.createDataFrame([(self.scaler.to_json(),)], "scaler string").write.mode("overwrite").parquet(f"{path}/scaler")
+    def save(self, spark: SparkSession, path: str) -> None:
+        text = json.dumps({"scaler": self.scaler.to_json(), "weights": training.to_json(self.weights)})
+        spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "GraphModel":
-        scaler = Scaler.from_json(spark.read.parquet(f"{path}/scaler").first()[0])
-        return GraphModel(scaler, MultilayerPerceptronClassificationModel.load(f"{path}/perceptron"))
-
+        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        return GraphModel(Scaler.from_json(found["scaler"]), training.from_json(found["weights"]))
 
-def fit_graph(accounts: DataFrame, seed: int = 42, iterations: int = 100) -> tuple[GraphModel, DataFrame]:
-    """The model, and the accounts with label, split and x it was trained on.
 
-    Suspicious training accounts are repeated by their capped weight, as the learner has no weights.
-    """
+def fit_graph(accounts: DataFrame, seed: int = 42, epochs: int = 60, rate: float = 0.02) -> tuple[GraphModel, DataFrame]:
+    """The model, and the scaled accounts with label and split that it was trained on: the earlier ones, the suspicious of
+    them by their capped weight."""
     nodes = node_split(cut_lineage(members(accounts)))
     scaler = Scaler.fit(nodes, ACCOUNT_COLUMNS)
-    wide = cut_lineage(hops(scaled(nodes, scaler, "label", "split"), "label", "split"))
-    train = wide.where("split = 'train'")
-    times = max(int(round(class_weights(train, "label")["graph_suspicious"])), 1)
-    copies = F.when(F.col("label") == 1, F.lit(times)).otherwise(F.lit(1))
-    repeated = train.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(
-        array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label")
-    )
-    layers = [3 * len(ACCOUNT_COLUMNS), *HIDDEN, 2]
-    learner = MultilayerPerceptronClassifier(layers=layers, seed=seed, maxIter=iterations)
-    return GraphModel(scaler, learner.fit(repeated)), wide
-
-
-def graph_scores(accounts: DataFrame, seed: int = 42, iterations: int = 100) -> DataFrame:
+    nodes = cut_lineage(scaled(nodes, scaler, "label", "split"))
+    weight = class_weights(nodes.where("split = 'train'"), "label")["graph_suspicious"]
+    parts, wide = training.parts_of(nodes, ACCOUNT_COLUMNS, weight)
+    weights = training.trained(training.summed(parts, wide), random_weights(seed), len(wide), epochs, rate)
+    return GraphModel(scaler, weights), nodes
+
+
+def graph_scores(accounts: DataFrame, seed: int = 42, epochs: int = 60) -> DataFrame:
     """Suspicion probability per account, by a model trained on the earlier accounts."""
-    model, wide = fit_graph(accounts, seed, iterations)
-    scored = model.probabilities(wide)
-    return scored.withColumn("prediction", (F.col("gnn_score") >= SUSPICIOUS_FROM).cast("int"))
+    model, nodes = fit_graph(accounts, seed, epochs)
+    return model.probabilities(nodes).withColumn("prediction", (F.col("gnn_score") >= SUSPICIOUS_FROM).cast("int"))

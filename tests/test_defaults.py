@@ -124,9 +124,9 @@ def test_a_shared_folder_is_asked_for_on_clusters():
 
 def test_reloaded_graph_model_serves_the_same_scores(spark, folder):
     wide = FT.features(frame(spark, random_rows(200, [f"C{i}" for i in range(20)], seed=31)))
-    model, _ = GM.fit_graph(A.account_features(wide), iterations=5)
+    model, _ = GM.fit_graph(A.account_features(wide), epochs=5)
     serving = A.account_features_serving(wide)
-    model.save(folder)
+    model.save(spark, folder)
     first = {r["account_id"]: r["gnn_score"] for r in model.serve(serving).collect()}
     again = {r["account_id"]: r["gnn_score"] for r in GM.GraphModel.load(spark, folder).serve(serving).collect()}
     assert first == again and len(first) == serving.count() and all(0 <= v <= 1 for v in first.values())
