@@ -208,11 +208,18 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path, pattern)
         for batch in batches:
-            given = batch.column(ids).cast(pa.list_(pa.int32()))
-            size = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            plain = ranks.decode(given.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
-            known = given.is_valid().to_pylist()
-            yield batch.append_column(decoded, pa.array([p if k else None for p, k in zip(plain, known)], pa.binary()))
+            size = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            total, at = np.cumsum(size), 0
+            while at < batch.num_rows:  # runs of rows with about TOKENS ids together; a longer row is a run of its own
+                to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + TOKENS, side="right")))
+                part = batch.slice(at, to - at)
+                given = part.column(ids)
+                flat = given.flatten().cast(pa.int32())
+                if flat.null_count:
+                    raise ValueError("a null is not in the vocabulary")
+                plain = ranks.decode(flat.to_numpy(), np.concatenate([[0], np.cumsum(size[at:to])]))
+                yield part.append_column(decoded, pa.array([p if k else None for p, k in zip(plain, given.is_valid().to_pylist())], pa.binary()))
+                at = to
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{decoded}` binary"])
     return rows.mapInArrow(run, schema)

@@ -73,6 +73,8 @@ def test_tables(spark):
     assert byte_bpe.encode(table.where("false"), PATH, P.PATTERN).collect() == []
     with pytest.raises(Exception, match="not in the vocabulary"):
         byte_bpe.decode(spark.createDataFrame([([1, 10**6],)], "ids array<int>"), PATH, P.PATTERN).collect()
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        byte_bpe.decode(spark.createDataFrame([([1, None],)], "ids array<int>"), PATH, P.PATTERN).collect()
 
 
 def test_query_by_the_library(spark, library):
