@@ -8,7 +8,7 @@ bound the search only: every link that a block or a local join meets goes to a t
 of links is audited: vectors that no audit has taken are compared with all rows, until enough of them have links. While too large
 a share of a vector's links joins different components, in the mean over these vectors, further blocks and rounds follow; after
 the last turn the audit goes on through the whole table instead, so no result is below the target. What an audit finds is kept.
-Rare links make audits long, up to a comparison of all pairs: a recall cannot be told from fewer. Links below the threshold are dropped.
+Where links are rare, an audit ends after a bounded number of vectors. Links below the threshold are dropped.
 
 Links of a vector lie within its component. Their number is counted there exactly, in tiles of the component's
 vectors, without listing pairs; equal vectors are one entry with its number of copies throughout.
@@ -20,6 +20,7 @@ of the graph and their own component (null). Rows with one id and one vector cou
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from .components import connected
 from .tables import shuffle_width
 from .vectors import finite, matrix
 
+LOG = logging.getLogger(__name__)
 NEIGHBOURS = 10
 LARGER = 30  # neighbours of saturated vectors
 BLOCK = 512  # vectors of a starting block
@@ -41,6 +43,8 @@ GROUP = 128  # vectors whose local joins one group holds
 AUDITED = 256  # vectors of the first audit; each further one takes twice as many, up to MOST_AUDITED
 MOST_AUDITED = 4096
 LINKED = 256  # audited vectors with links that a recall is taken from
+ENOUGH = 8192  # audited vectors after which it is taken from as many as there are
+NEAR = 16  # tiles of a component that meet the others under one key
 CELLS = 1 << 22  # similarities that a task holds at a time
 PAIR = "a bigint, b bigint, sim double"
 
@@ -194,19 +198,23 @@ def held_together(true: DataFrame, found: DataFrame) -> tuple[int, float]:
 def link_counts(members: DataFrame, width: int, least: float) -> DataFrame:
     """(node, linked): vectors that each vector of a component (component, node, vector, copies) links with, itself left out."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    keys = F.ceil(F.col("tiles") / NEAR).cast("int")
+    sizes = sizes.withColumn("keys", keys)
     dealt = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         x = units(matrix(table.column("vector"), width))
-        return pa.table({"component": table.column("component")[:1], "tile": table.column("tile")[:1],
+        return pa.table({"component": table.column("component")[:1], "tile": table.column("tile")[:1], "keys": table.column("keys")[:1],
                          "ids": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()),
                          "copies": pa.array([table.column("copies").to_numpy().tobytes()], pa.binary()),
                          "cells": pa.array([x.tobytes()], pa.binary())})
 
-    tiles = cut_lineage(dealt.select("component", "tile", "node", "vector", "copies").groupBy("component", "tile").applyInArrow(
-        pack, "component bigint, tile int, ids binary, copies binary, cells binary"))
-    other = tiles.select("component", *[F.col(c).alias(f"other_{c}") for c in ("tile", "ids", "copies", "cells")])
-    met = tiles.join(other, "component").where("tile <= other_tile")
+    tiles = cut_lineage(dealt.select("component", "tile", "keys", "node", "vector", "copies").groupBy("component", "tile").applyInArrow(
+        pack, "component bigint, tile int, keys int, ids binary, copies binary, cells binary"))
+    # A large component has several keys: each tile is under one of them, and met there by all.
+    other = tiles.select("component", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), *[F.col(c).alias(f"other_{c}") for c in ("tile", "ids", "copies", "cells")])
+    own = tiles.withColumn("key", F.pmod(F.col("tile"), F.col("keys"))).drop("keys")
+    met = own.join(other, ["component", "key"]).where("tile <= other_tile")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,11 +233,13 @@ def link_counts(members: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key: str = "vec_id", vector: str = "embedding",
-                 trials: int = 4, rounds: int = 2, most: int = 4) -> DataFrame:
+                 trials: int = 4, rounds: int = 2, most: int = 4, audits: int = ENOUGH, exact: bool = True) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows``.
 
     ``trials`` starting partitions, or as many more as the number of rows asks for, and ``rounds`` rounds; up to ``most`` times,
-    while the audited recall of links is below ``recall``. If it still is, all vectors that no audit has compared are compared."""
+    while the audited recall of links is below ``recall``. If it still is, all vectors that no audit has compared are compared, unless
+    ``exact`` is false. A recall is taken from 256 linked vectors, or from those among ``audits`` vectors: if none of so many
+    is linked, less than 3 / audits of all vectors are, with a confidence of 95 %. Recalls go to the log."""
     named = rows.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     usable = finite(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull()
     vectors = cut_lineage(named.where(usable))
@@ -252,16 +262,19 @@ def near_vectors(rows: DataFrame, least: float = 0.9, recall: float = 0.98, key:
         found = cut_lineage(connected(edges))
         edges = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         # Audits go on in hash order, so that none takes vectors whose links an earlier one has added.
-        pairs, linked, share = lists.select("a", "b", "sim"), 0, 0.0
+        pairs, linked, share, looked = lists.select("a", "b", "sim"), 0, 0.0, 0
         while True:
             true, after = audited(nodes, width, least, after, size)
+            looked += size
             size = min(2 * size, MOST_AUDITED)
             more, held = held_together(true, found)
             linked, share = linked + more, share + held
             edges, pairs = tied(edges, true, least), pairs.unionByName(true)
-            enough = linked >= LINKED and share >= recall * linked
-            if after is None or enough or (linked >= LINKED and turn + 1 < most):
+            told = linked >= LINKED or looked >= audits
+            enough = told and share >= recall * linked
+            if after is None or enough or (told and (turn + 1 < most or not exact)):
                 break
+        LOG.info("turn %d: %d vectors audited, %d of them linked, recall of their links %.4f", turn, looked, linked, share / linked if linked else 1.0)
         if after is None or enough:
             break
     if edges is not None:
