@@ -377,6 +377,13 @@ def oracles() -> dict[str, str]:
             round(least(1, k / 50.0 / 1.5), 6) AS iso_normalised FROM t""",
         "features_full": feat + f"SELECT {six(full)} FROM feat",
         "features_arrival_order": late + f"SELECT {six(full)} FROM feat",
+        "alerts_missing_fields": f"""WITH {TXN}{FUSED}, gap AS (SELECT * REPLACE (
+              CASE WHEN arrival_seq % 5 <> 0 THEN account_tier ELSE 'TIER_2' END AS account_tier, CASE WHEN arrival_seq % 7 <> 0 THEN channel ELSE 'mobile' END AS channel,
+              CASE WHEN arrival_seq % 11 <> 0 THEN type ELSE 'transfer' END AS type, CASE WHEN arrival_seq % 13 <> 0 THEN customer_id ELSE 'UNKNOWN' END AS customer_id)
+              FROM t){feature_ctes("gap")}{RULES}
+            SELECT gap.transaction_id, gap.account_id, gap.customer_id, CASE WHEN gap.arrival_seq % 5 <> 0 THEN gap.account_tier ELSE 'UNKNOWN' END AS account_tier,
+            f.risk_score, f.risk_tier, array_to_string(ruled.rules, ',') AS triggered_rules
+            FROM ruled JOIN gap USING (transaction_id) JOIN f ON f.transaction_id = gap.transaction_id""",
         "txn_rules": feat.rstrip() + RULES + " SELECT transaction_id, array_to_string(rules, ',') AS triggered_rules FROM ruled",
         "account_features": accounts + f"SELECT account_id, customer_id, label, {doubles(ACCOUNT_COLUMNS)} FROM acc",
         "account_features_serving": feat.rstrip() + f""", l AS (

@@ -37,8 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table, in one folder per application."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table, in one folder per application, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _to_go:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _to_go.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_to_go: set[str] = set()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
