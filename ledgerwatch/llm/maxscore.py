@@ -106,16 +106,18 @@ class Shard:
 def search(rows: DataFrame, asks: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For every row of ``rows`` that fulfils ``asks``: the ``k`` other rows of highest inner product of
     floor(scale * component), ties to the smaller id: query_id, rank, vec_id, score."""
-    usable = rows.where(finite(F.col(vector)) & F.col(key).isNotNull())
-    queries = usable.where(asks).groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("vector"))
-    usable = usable.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    usable, whole_id = rows.where(finite(F.col(vector)) & F.col(key).isNotNull()), F.col(key).cast("bigint").alias("id")
+    queries = usable.where(asks).groupBy(whole_id).agg(F.min(vector).alias("vector"))
+    usable = usable.select(whole_id, F.col(vector).alias("vector"))
     width = usable.agg(F.max(F.size("vector"))).first()[0] or 1
     (shards, n_shards), (blocks, n_blocks) = packed(usable, SHARD, width, scale), packed(queries, BLOCK, width, scale)
     # A batch of blocks meets every turn of shards once. Turns are short where shards are few, so that there are tasks enough.
     turn = min(TURN, max(1, n_shards // (2 * shuffle_width(rows.sparkSession))))
-    last = lambda n, size: F.lit((n - 1) // size)
-    met = shards.withColumn("turn", F.expr(f"number div {turn}")).withColumn("batch", F.explode(F.sequence(F.lit(0), last(n_blocks, BATCH))))
-    asked = blocks.withColumn("batch", F.expr(f"number div {BATCH}")).withColumn("turn", F.explode(F.sequence(F.lit(0), last(n_shards, turn))))
+    # Both sides' keys are int: cogroup casts neither side, and an int and a bigint of one value hash to different tasks.
+    place = lambda size: F.expr(f"number div {size}").cast("int")
+    every = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // size)).cast("array<int>"))
+    met = shards.withColumn("turn", place(turn)).withColumn("batch", every(n_blocks, BATCH))
+    asked = blocks.withColumn("batch", place(BATCH)).withColumn("turn", every(n_shards, turn))
 
     def answer(candidates: pa.Table, questions: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

@@ -104,6 +104,29 @@ def test_top_vectors_by_definition(spark, monkeypatch, block, batch):
     assert got == sorted(want)
 
 
+def test_top_vectors_of_many_tasks(spark, monkeypatch):
+    """Every batch of queries meets every turn of shards, also where these lie in several partitions; ids may be narrow integers."""
+    for name, value in (("SHARD", 20), ("TURN", 2), ("BLOCK", 4), ("BATCH", 2)):
+        monkeypatch.setattr(maxscore, name, value)
+    x = np.float32(np.random.default_rng(8).normal(size=(600, 12)))
+    cells = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 600, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(cells @ cells[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    table = vectors(spark, list(enumerate(x.tolist())))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce, "true")
+    spark.conf.set(coalesce, "false")
+    try:
+        for ids in ("bigint", "int"):
+            found = maxscore.search(table.withColumn("vec_id", F.col("vec_id").cast(ids)), F.col("vec_id") % 50 == 0)
+            assert found.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+            assert sorted(tuple(r) for r in found.collect()) == want, ids
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_top_vectors_of_large_components(spark):
     """Products beyond 2^53 and cells beyond 32 bits are exact; a score beyond 64 bits is an error."""
     asks = F.col("vec_id") % 50 == 0
