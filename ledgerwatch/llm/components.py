@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import side
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -23,19 +24,19 @@ def connected(edges: DataFrame) -> DataFrame:
     Self-links and links to null are left out; repeated links and links in either direction count once."""
     up, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = cut_lineage(edges.where("a <> b").select(up, low).distinct())
-    before = None
+    before, rows = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            both.join(_lowest(both), "u").where("v > u")
+            both.join(side(_lowest(both), 2 * rows), "u").where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         )
-        tied = large.join(_lowest(large), "u")
+        tied = large.join(side(_lowest(large), 2 * rows), "u")
         small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut_lineage(small.unionByName(tied.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     root = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(root)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected
-from .tables import column, free_name
+from .tables import column, free_name, side
 from .text import slices, words_in
 
 FETCHED = 64
@@ -81,23 +81,24 @@ def balls(bits: int, radius: int) -> list[int]:
 
 def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """Pairs (a, b) of different values of ``prints`` (fp bigint, unique) that differ in ``distance`` bits at most (1 or 2)."""
-    fp = F.col("fp")
+    fp, rows = F.col("fp"), prints.count()
     value = lambda k: segment(fp, k)
     table = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), value(k).alias("value")) for k in (0, 1)])).alias("s")).select("fp", "s.*")
-    groups = table.groupBy("k", "value").agg(F.count("*").alias("held"))
+    # Stored, so that a join with it gets a shuffle of its own, whose large partitions adaptive execution can split.
+    groups = cut_lineage(table.groupBy("k", "value").agg(F.count("*").alias("held")))
     # Each link is asked for by the end whose segment lacks the bit; from equal segments by both, kept once.
     flips = F.array(F.lit(0), *[F.lit(m).cast("bigint") for m in balls(SEGMENT, 1)])
     asked = table.withColumn("flip", F.explode(flips)).where(F.col("value").bitwiseAND(F.col("flip")) == 0)
     asked = asked.select(F.col("fp").alias("a"), "k", "flip", F.col("value").bitwiseOR(F.col("flip")).alias("value"))
-    matched = cut_lineage(asked.join(groups, ["k", "value"]).where("flip <> 0 or held > 1"))
-    fetched = matched.where(F.col("held") <= FETCHED).join(table, ["k", "value"]).select("a", F.col("fp").alias("b"))
+    matched = cut_lineage(asked.join(side(groups, 2 * rows), ["k", "value"]).where("flip <> 0 or held > 1"))
+    fetched = matched.where(F.col("held") <= FETCHED).join(side(table, 2 * rows), ["k", "value"]).select("a", F.col("fp").alias("b"))
     rest = lambda left: F.array(*[F.lit(m).cast("bigint") for m in [0] + balls(SEGMENT, left)])
     crowded = matched.where(F.col("held") > FETCHED).withColumn(
         "rest", F.explode(F.when(F.col("flip") == 0, rest(distance)).otherwise(rest(distance - 1))))
     place = lambda mask, k: F.shiftleft(mask, SEGMENT) if k else mask
     changed = F.when(F.col("k") == 0, F.col("flip").bitwiseOR(place(F.col("rest"), 1))).otherwise(place(F.col("flip"), 1).bitwiseOR(F.col("rest")))
-    looked_up = crowded.select("a", F.col("a").bitwiseXOR(changed).alias("fp")).join(prints, "fp").select("a", F.col("fp").alias("b"))
+    looked_up = crowded.select("a", F.col("a").bitwiseXOR(changed).alias("fp")).join(side(prints, rows), "fp").select("a", F.col("fp").alias("b"))
     pairs = fetched.unionByName(looked_up).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -107,11 +108,13 @@ def fingerprint_groups(docs: DataFrame, size: int, distance: int = 2, key: str =
     named = cut_lineage(with_fingerprints(docs, size, key, "fp").withColumnRenamed(key, "id"))
     prints = cut_lineage(named.groupBy("fp").agg(F.min("id").alias("low")))
     roots = cut_lineage(connected(links(prints.select("fp"), distance)))
-    lows = roots.join(prints.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("low").alias("least"))
-    linked = roots.join(lows, "component").select(F.col("node").alias("fp"), F.col("least"))
-    of_print = prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component"))
+    rows, nodes = prints.count(), roots.count()
+    of_node = roots.join(side(prints.withColumnRenamed("fp", "node"), rows), "node")
+    lows = cut_lineage(of_node.groupBy("component").agg(F.min("low").alias("least")))
+    linked = roots.join(side(lows, nodes), "component").select(F.col("node").alias("fp"), F.col("least"))
+    of_print = cut_lineage(prints.join(side(linked, nodes), "fp", "left").select("fp", F.coalesce("least", "low").alias("component")))
     # A fingerprint that very many rows share is a skewed key with one row on the other side: adaptive execution splits it.
-    return named.join(of_print, "fp").select(F.col("id").alias(key), "fp", "component")
+    return named.join(side(of_print, rows), "fp").select(F.col("id").alias(key), "fp", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, key: str = "doc_id") -> DataFrame:

@@ -18,6 +18,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+SMALL_SIDE = 100_000  # rows of a join's side that may go to every executor
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one side of a join, of at most ``rows`` rows: few go to every executor, more are shuffled.
+
+    Spark's own guess would be taken from compressed files and takes no notice of an explode, so it may send a large table
+    through the driver."""
+    return F.broadcast(df) if rows <= SMALL_SIDE else df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerwatch.llm import mixing, sentencepiece_nbest, simhash, substring_dedup, token_counts
+from ledgerwatch.llm import components, mixing, sentencepiece_nbest, simhash, substring_dedup, tables, token_counts
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " \t\n", "a", "A a A a", "word " * 3000, "é ẞ x", prose(1, 200), prose(1, 200), prose(2, 60) + "\n" + prose(1, 90)]
@@ -130,6 +130,23 @@ def test_hamming_links_are_complete(spark, monkeypatch):
         assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
 
 
+def test_links_send_no_large_side_through_the_driver(spark, monkeypatch):
+    """Spark takes tables for small that aren't: by the size of compressed files, and as an explode counts for nothing."""
+    plans, stored = [], simhash.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    monkeypatch.setattr(tables, "SMALL_SIDE", 10, raising=False)
+    base = prose(4, 300)
+    table = docs(spark, [base.replace("w7 ", f"v{k} ", 1) for k in range(30)] + [prose(k, 40) for k in range(60, 80)])
+    plans.append(simhash.near_duplicates(table)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_one_of_each_group_stays(spark):
     texts = [prose(1, 50), prose(1, 50), prose(2, 50), None, "", prose(1, 50)]
     table = docs(spark, texts, [7, 3, 4, 5, 6, None]).withColumn("gone", F.lit(0))
