@@ -111,6 +111,30 @@ def test_a_batch_reads_only_hours_in_which_windows_begin():
     assert got[rows[-1][0]]["n_24h"] == replay(rows)[rows[-1][0]]["count_24h"]
 
 
+def test_a_customer_of_few_rows_costs_few_calls_of_the_state(monkeypatch):
+    calls = []
+    for kind, names in ((Value, ("exists", "get", "update")), (Map, ("containsKey", "getValue", "updateValue", "iterator"))):
+        for name in names:
+            monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name): (calls.append(f), f(self, *a))[1])
+    rows = random_rows(240, ["C1"], 5)
+    customer(rows, [10] * 24)
+    assert len(calls) <= 4 * 24
+
+
+@pytest.mark.parametrize("lateness", [None, S.DAY])
+def test_a_customer_that_outgrows_one_value_is_answered_alike(monkeypatch, lateness):
+    monkeypatch.setattr(Value, "clear", lambda self: self.update(None), raising=False)
+    rows = [(*r[:1], None if i % 7 == 0 else r[1], *r[2:6], None if i % 11 == 0 else r[6], *r[7:]) for i, r in enumerate(random_rows(240, ["C1"], 6, 400_000))]
+    found = []
+    for whole in (10**6, 100, 0):
+        monkeypatch.setattr(state, "WHOLE", whole, raising=False)
+        got, processor = customer(rows, [10] * 24, lateness)
+        found.append(got)
+        if lateness is None:  # else too many rows are late to outgrow it
+            assert (len(processor.sums) > 0) == (whole < 240) == (processor.whole.held is None)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 240
+
+
 def put(spark, folder, rows, batch):
     """One file of the stream's source, newer than those before."""
     path = f"{folder}/in"
