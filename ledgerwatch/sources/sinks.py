@@ -76,8 +76,9 @@ def publish(messages: DataFrame, servers: str, checkpoint: str | None = None):
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One JSON document per case, in a folder per customer."""
-    reports.withColumn("investigated_at", F.current_timestamp()).write.mode("append").partitionBy("customer_id").json(path)
+    """One JSON document per case, in a folder per customer. A customer's reports go to one task, else every task would add a file
+    to every folder; a customer with very many of them is split."""
+    reports.withColumn("investigated_at", F.current_timestamp()).hint("rebalance", "customer_id").write.mode("append").partitionBy("customer_id").json(path)
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -63,3 +63,11 @@ def test_text(spark):
     ).collect()
     assert [r["got"] for r in rows] == [r["expected"] for r in rows]
     assert rows[0]["answer"] == "dismiss it" and rows[1]["answer"].startswith("<think>")
+
+
+def test_a_customer_s_reports_are_one_file(spark, folder):
+    reports = spark.range(400).select(F.concat(F.lit("T"), "id").alias("transaction_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("C"), F.col("id") % 5)).alias("customer_id"))
+    sinks.write_reports(reports.repartition(8), f"{folder}/reports")
+    files = [d for d, _, names in os.walk(f"{folder}/reports") for n in names if n.endswith(".json")]
+    assert len(files) == len(set(files)) == 5
+    assert sorted(map(tuple, sinks.read_reports(spark, f"{folder}/reports", reports.schema).drop("investigated_at").collect()), key=repr) == sorted(map(tuple, reports.collect()), key=repr)
