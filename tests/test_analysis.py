@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import statistics
 
@@ -22,6 +23,24 @@ from ledgerwatch.plans import catalog as catalog_module
 from ledgerwatch.session import scratch_path
 
 
+def test_superseded_tables_of_the_neighbour_search_go(spark, monkeypatch):
+    kept, stored = [], NN.cut_lineage
+
+    def noted(df, **more):
+        out = stored(df, **more)
+        kept.append(out)
+        return out
+
+    monkeypatch.setattr(NN, "cut_lineage", noted)
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(f"P{i}", x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 3)))], "id string, x array<double>")
+    monkeypatch.setattr(NN, "FAN", 4)
+    found = nearest(points, 3, leaf=40).collect()
+    assert len(found) == 4500
+    there = [os.path.isdir(df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]) if df.inputFiles() else True for df in kept if set(df.columns) == {"id", "x", "cell"}]
+    assert len(there) > 2 and there == [False] * (len(there) - 1) + [True]
+
+
 def account_rows(n, seed):
     rng = random.Random(seed)
     return [(f"A{i}", f"C{rng.randint(1, n // 3)}" if i else "", rng.choice([1.0, 2.0, 3.0]), rng.choice([0.2, 0.5, 0.51, 0.9]), rng.uniform(0, 9)) for i in range(n)]
