@@ -41,6 +41,21 @@ def test_superseded_tables_of_the_neighbour_search_go(spark, monkeypatch):
     assert len(there) > 2 and there == [False] * (len(there) - 1) + [True]
 
 
+def test_the_forest_gets_no_more_partitions_than_cores(spark, monkeypatch):
+    """Every partition sends statistics of all open nodes, on every level."""
+    seen = []
+    monkeypatch.setattr(MD.RandomForestClassifier, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    for key, value in (("minPartitionNum", "40"), ("openCostInBytes", "64")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        rows = spark.range(4000, numPartitions=40).select(F.array(F.rand(1), F.rand(2)).alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+        MD.fit_random_forest(rows, trees=2, depth=2)
+    finally:
+        for key in ("minPartitionNum", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert seen == [(spark.sparkContext.defaultParallelism, 4000)]
+
+
 def account_rows(n, seed):
     rng = random.Random(seed)
     return [(f"A{i}", f"C{rng.randint(1, n // 3)}" if i else "", rng.choice([1.0, 2.0, 3.0]), rng.choice([0.2, 0.5, 0.51, 0.9]), rng.uniform(0, 9)) for i in range(n)]
